@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,8 +59,23 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a Spark context; they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridloom_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="gridloom-")) / "gridloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(path))
+    sc._gridloom_shipped = True
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1500) -> None:
     """Bound the rows, and where Spark knows the setting the bytes, of a batch handed to Python."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
