@@ -29,8 +29,8 @@ class Monoid:
 _INF = float("inf")
 SUM = Monoid(F.sum, lambda a, b: a + b, 0)
 PROD = Monoid(F.product, lambda a, b: a * b, 1)
-MIN = Monoid(F.min, F.least, _INF)
-MAX = Monoid(F.max, F.greatest, -_INF)
+MIN = Monoid(F.min, lambda a, b: F.least(a, b), _INF)
+MAX = Monoid(F.max, lambda a, b: F.greatest(a, b), -_INF)
 AND = Monoid(lambda c: F.min(E.truth(c != 0)), E.both, 1)
 OR = Monoid(lambda c: F.max(E.truth(c != 0)), E.either, 0)
 MIN_NOT_ZERO = Monoid(lambda c: F.min(F.nullif(c, F.lit(0.0))), E.min_not_zero, 0)

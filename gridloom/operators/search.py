@@ -147,7 +147,8 @@ def put(x: Matrix, i: int, j: int, v: float) -> Matrix:
 
 def insertion_points(sorted_values: DataFrame, keys: DataFrame, value: str = "v", key: str = "key") -> DataFrame:
     """Rows (key, at): how many values are smaller than each key. One sort of values and keys together and a running count; no join by range."""
-    both = sorted_values.select(F.col(value).cast("double").alias("x"), F.lit(None).cast("double").alias(key), F.lit(1).alias("own")).union(keys.select(F.col(key).cast("double"), F.col(key).cast("double"), F.lit(0)))
-    sums = both.groupBy("x").agg(F.sum("own").alias("own"), F.collect_list(key).alias("ks"))
+    marks = sorted_values.select(F.col(value).cast("double").alias("x"), F.lit(1).alias("own")).union(keys.select(F.col(key).cast("double").alias("x"), F.lit(0).alias("own")))
+    sums = marks.groupBy("x").agg(F.sum("own").alias("own"), F.count_if(F.col("own") == 0).alias("asked"))
     before = F.sum("own").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
-    return sums.withColumn("at", F.coalesce(before, F.lit(0))).select(F.explode("ks").alias(key), "at")
+    placed = sums.withColumn("at", F.coalesce(before, F.lit(0))).where("asked > 0")
+    return placed.select(F.col("x").alias(key), "at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("asked"))).alias("k_")).drop("k_")

@@ -24,7 +24,7 @@ def frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
 
     All columns go in one pass and one shuffle of partial counts.
     """
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("col"), F.col(c).cast("string").alias("value")) for k, c in enumerate(cols)))).alias("s")).select("s.*")
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols))).alias("s")).select("s.*")
     counts = long.groupBy("col", "value").agg(F.count("*").alias("cnt"))
     totals = counts.groupBy("col").agg(F.sum("cnt").alias("m"), F.count("*").alias("depth"))
     f = F.col("cnt") / F.col("m")

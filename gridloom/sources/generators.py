@@ -116,4 +116,5 @@ def extrude(row: Matrix, depth: int) -> Matrix:
     """A row repeated ``depth`` more times."""
     if row.m != 1:
         raise errors.NotVector("a single row is needed")
-    return Matrix(row.to_coo().df.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).cast("long").alias("i"), "j", "v"), "coo", row.n, depth + 1)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(depth).cast("long")))
+    return Matrix(row.to_coo().df.select(copies.alias("i"), "j", "v"), "coo", row.n, depth + 1)
