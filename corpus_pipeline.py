@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, line_quality, mixture, near_dup, shards
-from gridloom.llm.common import Stage, read
+from gridloom.llm.common import Stage, read, set_aside
 
 #: Documents whose score is lower are rejected.
 LEAST_QUALITY = 0.5
@@ -19,7 +19,7 @@ LEAST_QUALITY = 0.5
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of score LEAST_QUALITY or more, by the field fitted on the labelled ones among them."""
     field = line_quality.train(docs, read(spark, sf_dir, "labels"))
-    return line_quality.score(docs, field).where(F.col("score") >= LEAST_QUALITY).drop("score")
+    return line_quality.score(docs, field, name="gl_score").where(F.col("gl_score") >= LEAST_QUALITY).drop("gl_score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +34,16 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none to three times."""
+    names = docs.columns
+    docs, back = set_aside(docs, ["size", "mix_key", "mix_bin", "source_size", "target", "copies"])
     mixed = mixture.mix(mixture.measure(docs), Stage(spark, "pipeline-mix"))
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy_")).drop("copy_")
+    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("gl_copy")).drop("gl_copy").withColumnsRenamed(back).select(names)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their virtual slot and shard."""
+    """Documents with their size, text_crc32, virtual slot and shard; columns of these names are replaced."""
     placed, _ = shards.shard(docs, Stage(spark, "pipeline-shards"))
-    return placed.select(*docs.columns, "size", "text_crc32", "virtual_slot", "shard")
+    return placed.select(*dict.fromkeys([*docs.columns, "size", "text_crc32", "virtual_slot", "shard"]))
 
 
 STAGES = [

@@ -132,5 +132,12 @@ def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> Da
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of these names (in any case) renamed, and the renaming that brings them back."""
+    taken = {n.lower() for n in names}
+    away = {c: f"{c}__aside" for c in df.columns if c.lower() in taken}
+    return df.withColumnsRenamed(away), {v: k for k, v in away.items()}
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))

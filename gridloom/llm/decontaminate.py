@@ -5,7 +5,8 @@ each hit is verified on the words themselves. The set is broadcast in blocks of
 its size has a proven bound however large the benchmark is: more items mean more passes whose spans are put together.
 
 Nulls: null texts have no words; null item_ids are written as the empty string. Documents without words have no hits.
-Repeated rows give repeated results. An empty benchmark hits nothing. Extra columns of the input pass through.
+Repeated rows give repeated results. An empty benchmark hits nothing. Extra columns of the input pass
+through; ``find_hits`` replaces those named as the columns it adds (n_words, n_hit, hit_spans, hit_items).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import arrow_batches, read
+from .common import arrow_batches, read, set_aside
 
 WINDOW = 10
 #: Windows in one broadcast block: at most about 150 MB in a worker.
@@ -126,8 +127,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, most_hit: float = 0.2, window: int = WINDOW) -> DataFrame:
     """The rows of docs without what benchmark windows cover: hit spans go from the text, and a document whose words are hit in a larger share than most_hit goes whole."""
+    schema = docs.schema
+    docs, back = set_aside(docs, ["n_words", "n_hit", "hit_spans", "hit_items"])
     hits = find_hits(docs, benchmark, window)
-    cols = [c for c in docs.columns]
+    cols = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = textnp.alnum_table()
@@ -147,7 +150,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, most_hit: float = 0.2, wi
             arrays = [pa.array(new, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in cols]
             yield pa.RecordBatch.from_arrays(arrays, names=cols)
 
-    return hits.where(F.col("n_hit") <= most_hit * F.col("n_words")).mapInArrow(cut, docs.schema)
+    return hits.where(F.col("n_hit") <= most_hit * F.col("n_words")).mapInArrow(cut, docs.schema).withColumnsRenamed(back).select(schema.names)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

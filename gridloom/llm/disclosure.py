@@ -9,7 +9,8 @@ All in DataFrame functions. Pairs grow with the entities (each has one context o
 group. Counts of terms are partial aggregates; a term of a third of all rows is one number per task.
 
 A null text is empty. Rows that share doc_id and text share one result; a null doc_id is a value like any other. An empty
-table gives none. Extra columns pass through ``sanitise``.
+table gives none. Extra columns pass through ``sanitise``; those named as the working columns (base, near, spans, term_spans,
+text_key, text_, m_<kind>, s_<kind>) are dropped.
 """
 
 from __future__ import annotations
@@ -116,12 +117,13 @@ def term_spans(docs: DataFrame, terms: DataFrame, stage: Stage) -> DataFrame:
 
 def find(docs: DataFrame, stage: Stage, keep: list[str]) -> DataFrame:
     """The columns keep of docs with base (by kind, then start) and spans (base and disclosing terms, in the same order)."""
+    keep = [c for c in keep if c not in ("text_key", "base", "near", "spans", "term_spans")]
     key = text_key(F.col("text"))
     first = base_spans(docs).withColumn("text_key", key)
     first = stage.put(first.withColumn("near", contexts(F.coalesce("text", F.lit("")), F.col("base"))).select(*dict.fromkeys([*keep, "doc_id"]), "text_key", "base", "near"))
     terms = stage.put(disclosing(docs, first.select(F.explode("near").alias("x")).select("x.*"), stage))
-    extra = term_spans(docs, terms, stage).withColumnsRenamed({"doc_id": "d", "text_key": "h"})
-    out = first.join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("h")), "left")
+    extra = term_spans(docs, terms, stage).withColumnsRenamed({"doc_id": "gl_d", "text_key": "gl_h"})
+    out = first.join(extra, F.col("doc_id").eqNullSafe(F.col("gl_d")) & (F.col("text_key") == F.col("gl_h")), "left")
     apart = F.filter(F.coalesce("term_spans", F.array().cast("array<struct<start:int,end:int,value:string>>")), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return out.withColumn("spans", F.concat("base", F.transform(apart, lambda s: F.struct(F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))))).select(*keep, "base", "spans")
 

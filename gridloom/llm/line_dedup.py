@@ -9,7 +9,8 @@ shared lines that has fewer than BLOCK_WORDS words cannot hold a block, so commo
 lines that point at the same earlier document one stands for all.
 
 A line's first document never loses it, so some copy of every line stays. Null texts have no lines and stay null. Rows that
-share doc_id and text are one document; rows with a null doc_id come last. An empty table gives none. Extra columns pass.
+share doc_id and text are one document; rows with a null doc_id come last. An empty table gives none. Extra columns
+pass; columns named n_lines or n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -134,23 +135,23 @@ def removals(docs: DataFrame, stage: Stage, least: int = BLOCK_WORDS) -> DataFra
 
 def dedup(docs: DataFrame, stage: Stage, least: int = BLOCK_WORDS) -> DataFrame:
     """docs with text without the deleted lines, n_lines and n_removed."""
-    found = removals(docs, stage, least).withColumnsRenamed({"d": "d_", "h": "h_"})
+    found = removals(docs, stage, least).withColumnsRenamed({"d": "gl_d", "h": "gl_h", "gone": "gl_gone"})
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(cols).join(found, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("d_")) & (text_key(F.col("text")) == F.col("h_")), "left").drop("d_", "h_")
-    rows = rows.withColumns({"n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
+    rows = docs.select(cols).join(found, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("gl_d")) & (text_key(F.col("text")) == F.col("gl_h")), "left").drop("gl_d", "gl_h")
+    rows = rows.withColumns({"n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("gl_gone"), F.lit(0)).cast("long")})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone, text = b.column(b.schema.get_field_index("gone")).to_pylist(), b.column(b.schema.get_field_index("text"))
+            gone, text = b.column(b.schema.get_field_index("gl_gone")).to_pylist(), b.column(b.schema.get_field_index("text"))
             new = text.to_pylist() if any(gone) else text
             for r, g in enumerate(gone):
                 if g:
                     drop = set(g)
                     new[r] = "\n".join(x for k, x in enumerate(new[r].split("\n")) if k not in drop)
-            arrays = [(pa.array(new, pa.string()) if any(gone) else text) if c == "text" else b.column(b.schema.get_field_index(c)) for c in b.schema.names if c != "gone"]
-            yield pa.RecordBatch.from_arrays(arrays, names=[c for c in b.schema.names if c != "gone"])
+            arrays = [(pa.array(new, pa.string()) if any(gone) else text) if c == "text" else b.column(b.schema.get_field_index(c)) for c in b.schema.names if c != "gl_gone"]
+            yield pa.RecordBatch.from_arrays(arrays, names=[c for c in b.schema.names if c != "gl_gone"])
 
-    return rows.mapInArrow(cut, rows.drop("gone").schema)
+    return rows.mapInArrow(cut, rows.drop("gl_gone").schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

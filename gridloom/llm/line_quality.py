@@ -180,17 +180,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field:
     return fit(features, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.array([r[1] for r in found]))
 
 
-def score(docs: DataFrame, field: Field, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (default: all) of docs and score."""
+def score(docs: DataFrame, field: Field, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns keep (default: all) of docs and the score; a column of its name is replaced."""
     arrow_batches(docs.sparkSession)
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             arrays = [b.column(b.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(quality(field, b.column(b.schema.get_field_index("text"))))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(quality(field, b.column(b.schema.get_field_index("text"))))], names=[*keep, name])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, docs.select(keep).withColumn("score", F.lit(None).cast("double")).schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, docs.select(keep).withColumn(name, F.lit(None).cast("double")).schema)
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ Scale: a source may hold a third of all rows, so it is never sorted in one task.
 are summed by (source, bin), the bin in which the budget ends is found from those sums, and only that bin's rows are ranked.
 
 Nulls: a null text has size 0 and weight 1; null sources are one source, the last. Empty documents take nothing. Equal keys are ordered by
-doc_id; rows that are equal in doc_id and text are interchangeable. An empty table gives an empty mix. Extra columns pass.
+doc_id; rows that are equal in doc_id and text are interchangeable. An empty table gives an empty mix. Extra columns
+pass; those named as the columns it adds (size, mix_key, mix_bin, source_size, target, copies) are replaced.
 """
 
 from __future__ import annotations
@@ -72,17 +73,18 @@ def plan(measured: DataFrame, stage: Stage) -> DataFrame:
     ends = bins.withColumn("before", before).withColumnRenamed("source", "s").join(per.withColumnRenamed("source", "source_"), F.col("s").eqNullSafe(F.col("source_")))
     ends = ends.where("before <= rest AND rest < before + words").groupBy("s").agg(F.min(F.struct("mix_bin", "before")).alias("end"))
     out = per.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-    return stage.put(out.select(F.col("source").alias("plan_source"), "source_size", "target", "epochs", "rest", F.coalesce("end.mix_bin", F.lit(BINS)).alias("end_bin"), F.coalesce("end.before", F.lit(0)).cast("long").alias("end_before")))
+    return stage.put(out.select(F.col("source").alias("gl_source"), "source_size", "target", F.col("epochs").alias("gl_epochs"), F.col("rest").alias("gl_rest"), F.coalesce("end.mix_bin", F.lit(BINS)).alias("gl_end"), F.coalesce("end.before", F.lit(0)).cast("long").alias("gl_before")))
 
 
 def mix(measured: DataFrame, stage: Stage) -> DataFrame:
     """measured rows with source_size, target and copies, how often the mix takes the document (0 to 3)."""
-    rows = measured.join(small(plan(measured, stage)), F.col("source").eqNullSafe(F.col("plan_source")))
-    clear = rows.where("mix_bin <> end_bin").withColumn("copies", F.col("epochs") + F.when((F.col("mix_bin") < F.col("end_bin")) & (F.col("rest") > 0), 1).otherwise(0))
+    rows = measured.drop("source_size", "target", "copies").join(small(plan(measured, stage)), F.col("source").eqNullSafe(F.col("gl_source")))
+    once_more = lambda cond: F.col("gl_epochs") + F.when(cond & (F.col("gl_rest") > 0), 1).otherwise(0)
+    clear = rows.where("mix_bin <> gl_end").withColumn("copies", once_more(F.col("mix_bin") < F.col("gl_end")))
     order = Window.partitionBy("source").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.where("mix_bin = end_bin").withColumn("before", F.col("end_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = last.withColumn("copies", F.col("epochs") + F.when((2 * F.col("before") + F.col("size") <= 2 * F.col("rest")) & (F.col("rest") > 0), 1).otherwise(0)).drop("before")
-    return clear.unionByName(last).drop("plan_source", "epochs", "rest", "end_bin", "end_before")
+    last = rows.where("mix_bin = gl_end").withColumn("gl_before", F.col("gl_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    last = last.withColumn("copies", once_more(2 * F.col("gl_before") + F.col("size") <= 2 * F.col("gl_rest")))
+    return clear.unionByName(last).drop("gl_source", "gl_epochs", "gl_rest", "gl_end", "gl_before")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -395,13 +395,13 @@ def near_duplicates(docs: DataFrame, stage: Stage, k: int, percent: int, group:
 def keep_one(docs: DataFrame, stage: Stage, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: of each group the document of smallest doc_id, once; documents in no group, and rows without words."""
     found = stage.put(near_duplicates(docs, stage, k, percent))
-    out = found.where(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull())).select(F.col("doc_id").alias("d"), F.col("h").alias("h_")).distinct()
-    kept = docs.join(small(out), F.col("doc_id").eqNullSafe(F.col("d")) & (text_key(F.col("text")) == F.col("h_")), "left_anti")
-    again = found.where("doc_id = component_id").groupBy("doc_id", "component_id").count().where("count > 1").select(F.col("doc_id").alias("d"))
+    out = found.where(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull())).select(F.col("doc_id").alias("gl_d"), F.col("h").alias("gl_h")).distinct()
+    kept = docs.join(small(out), F.col("doc_id").eqNullSafe(F.col("gl_d")) & (text_key(F.col("text")) == F.col("gl_h")), "left_anti")
+    again = found.where("doc_id = component_id").groupBy("doc_id", "component_id").count().where("count > 1").select(F.col("doc_id").alias("gl_d"))
     if again.isEmpty():
         return kept
-    twice = kept.join(small(again), F.col("doc_id") == F.col("d"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small(again), F.col("doc_id") == F.col("d"), "left_anti").union(twice)
+    twice = kept.join(small(again), F.col("doc_id") == F.col("gl_d"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(small(again), F.col("doc_id") == F.col("gl_d"), "left_anti").union(twice)
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

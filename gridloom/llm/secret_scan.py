@@ -4,7 +4,8 @@ Both models are first-order over the token alphabet with add-one counts, trained
 for a secret if the log-likelihood ratio, summed over its neighbouring characters, exceeds MARGIN. The table of ratios becomes one literal; scanning is DataFrame functions only.
 
 A null text is empty and has no spans. Texts are scanned whole. Repeated rows give repeated results; an empty table gives
-none; extra columns pass through ``scan``.
+none; extra columns pass through ``scan``; those named as its columns (base_spans, spans) are replaced, and those named as its
+working columns (text_, m_<kind>, s_<kind>) dropped.
 """
 
 from __future__ import annotations

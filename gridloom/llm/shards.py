@@ -5,7 +5,8 @@ has at most that many rows), and a versioned slot-to-shard map says where each s
 writes a new version that moves only as many slots as it must. Finding a record's shard is one hash and one array lookup.
 
 A null doc_id or text hashes like any other value; a record's slot also depends on its text, so that many rows without an id
-spread out. Rows that are equal in doc_id and text share a slot. An empty table gets a map and no rows. Extra columns pass.
+spread out. Rows that are equal in doc_id and text share a slot. An empty table gets a map and no rows. Extra columns pass; those
+named as the columns it adds (size, text_crc32, virtual_slot, shard, first_row, slot) are replaced.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def map_table(spark: SparkSession, version: int, placed: list[int], totals: dict
 
 def place(slotted: DataFrame, versions: DataFrame, version: int) -> DataFrame:
     """slotted rows with their shard. The map has one row a slot (thousands), so it is broadcast."""
-    return slotted.join(F.broadcast(versions.where(F.col("version") == version).select("virtual_slot", "shard", "first_row")), "virtual_slot")
+    return slotted.drop("shard", "first_row").join(F.broadcast(versions.where(F.col("version") == version).select("virtual_slot", "shard", "first_row")), "virtual_slot")
 
 
 def positions(placed: DataFrame) -> DataFrame:
