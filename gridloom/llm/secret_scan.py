@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .spans import by_start, redacted, tagged, with_spans, written
+from .spans import by_start, let, redacted, tagged, with_spans, written
 
 KINDS = ["assign", "access", "hex"]
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]+)"""
@@ -62,7 +62,7 @@ def ratio(token: Column, table: list[float]) -> Column:
     """The token's summed log-likelihood ratio."""
     lit = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
     place = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    pairs = F.zip_with(F.slice(place, F.lit(1), F.size(place) - 1), F.slice(place, F.lit(2), F.greatest(F.size(place) - 1, F.lit(0))), lambda a, b: a * len(ALPHABET) + b)
+    pairs = F.zip_with(F.slice(place, F.lit(1), F.greatest(F.size(place) - 1, F.lit(0))), F.slice(place, F.lit(2), F.greatest(F.size(place) - 1, F.lit(0))), lambda a, b: a * len(ALPHABET) + b)
     return F.aggregate(pairs, F.lit(0.0), lambda acc, at: acc + F.coalesce(F.get(lit, at), F.lit(0.0)))
 
 
@@ -72,8 +72,8 @@ def scan(docs: DataFrame, samples: list[tuple[str, bool]] | None = None, margin:
     docs = docs.withColumn("text_", F.coalesce("text", F.lit("")))
     found = with_spans(docs, "text_", PATTERNS, {"assign": lambda v: F.length(F.regexp_extract(v, _ASSIGN, 1)) >= 8})
     found = found.withColumn("base_spans", by_start(tagged(KINDS, lambda k: F.col(f"s_{k}"))))
-    apart = F.filter("s_random", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    found = found.withColumn("s_random", F.when(F.size("s_random") > 0, F.filter(apart, lambda s: ratio(s["value"], table) > margin)).otherwise(F.col("s_random")))
+    told = let(F.col("base_spans"), lambda base: F.filter("s_random", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (ratio(s["value"], table) > margin)))
+    found = found.withColumn("s_random", F.when(F.size("s_random") > 0, told).otherwise(F.col("s_random")))
     found = found.withColumn("spans", by_start(tagged([*KINDS, "random"], lambda k: F.col(f"s_{k}"))))
     return found.drop("text_", *(f"s_{k}" for k in PATTERNS))
 

@@ -20,16 +20,41 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFram
     return df.withColumns({f"m_{kind}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for kind, p in patterns.items()})
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once however often f's lambdas use it."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda n, y: n + y)
+
+
+#: Matches whose lengths are summed at a time: the work is k * BLOCK + (k / BLOCK)^2 for k matches in a text.
+BLOCK = 64
+
+
 def located(text: Column, matches: Column, pattern: str) -> Column:
     """The matches with their places."""
-    pieces = F.split(text, pattern, -1)
-    lens = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("own"), b.alias("value")))
 
-    def span(x: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(lens, F.lit(1), i), F.lit(0), lambda n, y: n + y["gap"] + y["own"]) + x["gap"]
-        return F.struct(start.alias("start"), (start + x["own"]).alias("end"), x["value"].alias("value"))
+    def places(lens: Column) -> Column:
+        whole = F.transform(lens, lambda x: x["gap"] + x["own"])
+        blocks = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / BLOCK).cast("int")), lambda b: _sum(F.slice(w, b * BLOCK + 1, F.lit(BLOCK))))
+        firsts = lambda s: F.transform(s, lambda _, b: _sum(F.slice(s, F.lit(1), b)))
+
+        def span(w: Column, first: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                b = F.floor(i / BLOCK).cast("int")
+                start = F.get(first, b) + _sum(F.slice(w, b * BLOCK + 1, i - b * BLOCK)) + x["gap"]
+                return F.struct(start.alias("start"), (start + x["own"]).alias("end"), x["value"].alias("value"))
+
+            return F.transform(lens, one)
+
+        return let(whole, lambda w: let(let(blocks(w), firsts), lambda first: span(w, first)))
+
+    def lens(m: Column) -> Column:
+        return F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), m, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("own"), b.alias("value")))
 
-    return F.when(F.size(matches) > 0, F.transform(lens, span)).otherwise(F.array().cast(_NONE))
+    return F.when(F.size(matches) > 0, let(lens(matches), places)).otherwise(F.array().cast(_NONE))
 
 
 def with_spans(df: DataFrame, text: str, patterns: dict[str, str], holds: dict[str, Callable[[Column], Column]]) -> DataFrame:
