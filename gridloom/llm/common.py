@@ -107,13 +107,40 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+#: Edges whose components one task finds.
+ONE_TASK_EDGES = 50_000
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) of edges (u, v)."""
+    up: dict = {}
+    kind = None
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = top(up.setdefault(u, u)), top(up.setdefault(v, v))
+            up[max(p, q)] = min(p, q)
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([top(x) for x in up], kind)], names=["node", "comp"])
+
+
 def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: rows (node, comp), comp the smallest node reached; isolated nodes have no row.
 
     Alternating large-star and small-star steps on staged edge tables. Each step is a partial aggregate and an equi-join, so
-    a node with very many edges is split by AQE, and nothing is gathered on the driver but one row of counts a round.
+    a node with very many edges is split by AQE, and nothing is gathered on the driver but one row of counts a round. No more
+    than ONE_TASK_EDGES edges are joined up in one task instead.
     """
     cur = stage.put(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    if cur.count() <= ONE_TASK_EDGES:
+        arrow_batches(stage.spark)
+        return stage.put(cur.coalesce(1).mapInArrow(_joined_up, cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).schema))
     mark = None
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))

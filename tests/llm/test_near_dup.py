@@ -101,7 +101,9 @@ def test_group_labels_hold_all_links():
                 assert label[a] == label[b]
 
 
-def test_components(spark, stage):
+@pytest.mark.parametrize("in_one_task", [0, 50_000])
+def test_components(spark, stage, monkeypatch, in_one_task):
+    monkeypatch.setattr("gridloom.llm.common.ONE_TASK_EDGES", in_one_task)
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(60)] + [(200, 300), (300, 200), (5, 5)] + [(1000, 1001 + k) for k in range(50)]
     rng.shuffle(edges)
