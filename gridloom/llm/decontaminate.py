@@ -55,7 +55,7 @@ def _plain(block: dict) -> dict:
 
 
 def _scan(text: pa.Array, block: dict) -> tuple[list[list[int]], list[list[str]], np.ndarray]:
-    """For each text: flat [first, end) word spans that are hit, items that occur, number of words."""
+    """For each text: flat [first, end) spans of hit words, counted in the text, items that occur, number of words."""
     table = textnp.alnum_table()
     h, first, end, at = textnp.words(text, table)
     raw, _ = textnp.text_bytes(text)
@@ -77,10 +77,11 @@ def _scan(text: pa.Array, block: dict) -> tuple[list[list[int]], list[list[str]]
             mine = tuple(table[raw[first[k] : end[k]]].tobytes() for k in range(p, p + size))
             hit = [item for theirs, item in known[int(got[p])] if theirs == mine]
             if hit:
-                if spans[r] and spans[r][-1] >= p > spans[r][-2]:
-                    spans[r][-1] = max(spans[r][-1], p + size)
+                own = p - int(at[r])
+                if spans[r] and spans[r][-1] >= own > spans[r][-2]:
+                    spans[r][-1] = max(spans[r][-1], own + size)
                 else:
-                    spans[r] += [p, p + size]
+                    spans[r] += [own, own + size]
                 items[r] += hit
     return spans, [sorted(set(x)) for x in items], np.diff(at)
 
