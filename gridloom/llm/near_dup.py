@@ -141,40 +141,60 @@ def _node_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
         return np.frombuffer(b"".join(x.column("sk").to_pylist()), np.uint8).reshape(-1, SKETCH)
 
     leaders: list[bytes] = []
+    lead_comp: list[int] = []  # which leaders are joined already
     lead_sk = np.zeros((0, SKETCH), np.uint8)
 
+    def forget() -> None:
+        nonlocal lead_sk
+        leaders.clear()
+        lead_comp.clear()
+        lead_sk = lead_sk[:0]
+
     def large(fps: list[bytes], sk: np.ndarray, node: int) -> pa.RecordBatch:
-        """A piece of a large node: each record is linked to every leader it is like, or leads, or branches on."""
+        """A piece of a large node. A record is linked to the first leader it is like, and joins the others it is like to that one, unless they are; a record like none leads, or branches on."""
         nonlocal lead_sk
         a, b, n = [], [], []
-        done = np.zeros(len(fps), bool)
+        mine = np.full(len(fps), -1)
+
+        def link(x: bytes, y: bytes) -> None:
+            a.append(x)
+            b.append(y)
+            n.append(None)
+
+        def join(x: int, y: int) -> None:
+            old, new = lead_comp[x], lead_comp[y]
+            if old != new:
+                link(leaders[x], leaders[y])
+                lead_comp[:] = [new if c == old else c for c in lead_comp]
+
         if leaders:
             like = _agree(sk, lead_sk) >= least
-            for r in np.flatnonzero(like.any(1)):
-                done[r] = True
-                for x in np.flatnonzero(like[r]):
-                    a.append(fps[r])
-                    b.append(leaders[x])
-                    n.append(None)
-        while not done.all() and len(leaders) < LEADERS:
-            r = int(np.argmin(done))
+            for r in np.flatnonzero(like.any(1)).tolist():
+                found = np.flatnonzero(like[r]).tolist()
+                mine[r] = found[0]
+                link(fps[r], leaders[found[0]])
+                for x in found[1:]:
+                    join(x, found[0])
+        while (mine < 0).any() and len(leaders) < LEADERS:
+            r, k = int(np.argmax(mine < 0)), len(leaders)
             leaders.append(fps[r])
+            lead_comp.append(k)
             lead_sk = np.concatenate((lead_sk, sk[r : r + 1]))
-            done[r] = True
-            near = ((sk == sk[r]).sum(1) >= least) & ~done
-            for x in np.flatnonzero(near):
-                a.append(fps[x])
-                b.append(fps[r])
-                n.append(None)
-            done |= near
-        for r in np.flatnonzero(~done):
+            near = (sk == sk[r]).sum(1) >= least
+            for x in np.unique(mine[near & (mine >= 0)]).tolist():
+                join(x, k)
+            new = near & (mine < 0)
+            mine[new] = k
+            for x in np.flatnonzero(new).tolist():
+                if x != r:
+                    link(fps[x], fps[r])
+        for r in np.flatnonzero(mine < 0).tolist():
             a.append(fps[r])
             b.append(None)
             n.append(node)
         return rows(a, b, n)
 
     def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        nonlocal lead_sk
         node = t.column("node").to_numpy()
         cut = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
         size = np.diff(cut)
@@ -188,11 +208,8 @@ def _node_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
             b.append(fps[k + 1])
         for lo, hi in zip(cut[:-1][size > 2].tolist(), cut[1:][size > 2].tolist(), strict=True):
             if hi - lo > NODE:
-                leaders.clear()
-                lead_sk = lead_sk[:0]
                 yield large(fps[lo:hi], sk[lo:hi], int(node[lo]))
-                leaders.clear()
-                lead_sk = lead_sk[:0]
+                forget()
                 continue
             label = _linked(_agree(sk[lo:hi], sk[lo:hi]) >= least)
             for k in np.flatnonzero(label != np.arange(hi - lo)).tolist():
@@ -214,8 +231,7 @@ def _node_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
             if n == len(node):
                 continue
             open_node, batch, node = None, batch.slice(n), node[n:]
-            leaders.clear()
-            lead_sk = lead_sk[:0]
+            forget()
         if held and held[-1].column("node")[0].as_py() != node[0]:
             yield from whole(pa.Table.from_batches(held))
             held = []
