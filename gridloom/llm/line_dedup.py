@@ -26,6 +26,8 @@ from .common import WORD, Stage, arrow_batches, read, text_key
 
 #: Words that an aligned block must have to be deleted.
 BLOCK_WORDS = 40
+#: Documents that lose lines, up to which their keys (16 bytes each) are broadcast.
+KEYS = 100_000
 _LAST = (1 << 63) - 1
 
 
@@ -137,7 +139,14 @@ def dedup(docs: DataFrame, stage: Stage, least: int = BLOCK_WORDS) -> DataFrame:
     """docs with text without the deleted lines, n_lines and n_removed."""
     found = removals(docs, stage, least).withColumnsRenamed({"d": "gl_d", "h": "gl_h", "gone": "gl_gone"})
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(cols).join(found, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("gl_d")) & (text_key(F.col("text")) == F.col("gl_h")), "left").drop("gl_d", "gl_h")
+    docs = docs.select(cols)
+    mine = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("gl_d")) & (text_key(F.col("text")) == F.col("gl_h"))
+    if found.limit(KEYS + 1).count() <= KEYS:  # texts that lose nothing stay where they are
+        keys = F.broadcast(found.select("gl_d", "gl_h"))
+        rows = docs.join(keys, mine, "left_semi").join(found, mine, "left").drop("gl_d", "gl_h")
+        rows = rows.unionByName(docs.join(keys, mine, "left_anti").withColumn("gl_gone", F.lit(None).cast("array<int>")))
+    else:
+        rows = docs.join(found, mine, "left").drop("gl_d", "gl_h")
     rows = rows.withColumns({"n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("gl_gone"), F.lit(0)).cast("long")})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
