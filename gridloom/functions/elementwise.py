@@ -100,7 +100,7 @@ def identity(x: Column) -> Column:
 
 def sigmoid_series(depth: int) -> Unary:
     """The sigmoid with exp(-x) cut off after ``depth`` powers."""
-    return lambda x: 1 / (1 + sum((F.pow(-x, num(k)) / math.factorial(k) for k in range(1, depth + 1)), num(1)))
+    return lambda x: 1 / (1 + sum((F.pow(-x, num(k)) / float(math.factorial(k)) for k in range(1, depth + 1)), num(1)))
 
 
 def power(e: float) -> Unary:

@@ -34,8 +34,8 @@ def prime_factors(df: DataFrame, value: str) -> DataFrame:
     v = F.col(value).cast("long")
     table = F.array(*(F.lit(int(p)) for p in primes_upto(int(LARGEST_PRIME**0.5) + 1)))
     small = F.filter(table, lambda p: v % p == 0)
-    # what is left of v when every small prime is divided out; 64 rounds at most, as each at least halves it
-    rest = F.aggregate(small, v, lambda a, p: F.aggregate(F.sequence(F.lit(1), F.lit(17)), a, lambda b, _: F.when(b % p == 0, F.floor(b / p).cast("long")).otherwise(b)))
+    # what is left of v when every small prime is divided out as often as it goes: a 64-bit number has no factor more than 63 times
+    rest = F.aggregate(small, v, lambda a, p: F.aggregate(F.sequence(F.lit(1), F.lit(63)), a, lambda b, _: F.when(b % p == 0, F.floor(b / p).cast("long")).otherwise(b)))
     known = F.when((rest > 1) & (rest <= LARGEST_PRIME), rest)
     low = F.when(v < 4, v).otherwise(F.coalesce(F.array_min(small), known))
     high = F.when(v < 4, v).otherwise(F.coalesce(known, F.array_max(small)))
