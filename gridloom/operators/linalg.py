@@ -144,7 +144,14 @@ def z_scores(x: Matrix) -> Matrix:
 
 
 def covariance(x: Matrix) -> np.ndarray:
-    """The population covariance on the driver (action): one pass."""
+    """The population covariance on the driver: one pass for few columns, else one for the means and one for partial products of centred rows (actions)."""
+    if x.n > PAIR_COLUMNS:
+        coo = x.to_coo().df.groupBy("j").agg(F.avg("v").alias("mu"), F.count("*").alias("m")).collect()
+        mu, m = np.zeros(x.n), max((r["m"] for r in coo), default=0)
+        for r in coo:
+            mu[r["j"]] = r["mu"]
+        centred = x.to_vec().df.select("i", F.zip_with("x", F.array(*map(E.num, mu)), lambda a, b: a - b).alias("x"))
+        return gram(Matrix(centred, "vec", x.n, x.rows)) / m
     wide = x.to_wide()
     pairs = [(a, b) for a in range(x.n) for b in range(a, x.n)]
     row = wide.df.agg(*(F.covar_pop(f"f{a}", f"f{b}").alias(f"c{a}_{b}") for a, b in pairs)).first()

@@ -112,6 +112,8 @@ def test_principal_components(spark):
     x = rng.normal(size=(60, 3)) * [3, 1, 0.1]
     values, _ = linalg.principal_components(Matrix.from_numpy(spark, x), 3)
     assert np.allclose(values, np.sort(np.linalg.eigvalsh(np.cov(x.T, bias=True)))[::-1])
+    wide = rng.normal(5, 1, (40, 20))
+    assert np.allclose(linalg.covariance(Matrix.from_numpy(spark, wide)), np.cov(wide.T, bias=True))
 
 
 def test_factors_of_large_values(spark):
