@@ -2,15 +2,17 @@
 
 A document is the set of its distinct word shingles. Sets that are equal are one record, so that a group of exact copies,
 however large, costs one aggregate. In each of TREES independent trees a record goes to the nodes named by the minwise
-values of chosen coordinates. Small nodes are compared exhaustively by sketches of 64 minwise bytes; a node of more than NODE
-records compares each with leaders it picks, and records like no leader branch on, by further coordinates, to the next level.
+values of chosen coordinates. Small nodes are compared exhaustively by sketches of 64 minwise bytes. A node of more than NODE
+records first compares each with leaders it picks. Then, by the components of all links so far, it is done if it lies in one;
+if at most NODE records are outside its largest component, those are held against all others; else all its records branch on,
+by further coordinates, to the next level. What shares a node of the last level is one candidate group.
 Candidates only say what to look at: their connected groups are then taken by their full sets, and a link holds if
 100 * intersection >= percent * union. With five trees of two coordinates a pair at the threshold meets with a
 probability of over 0.9999 (1 - 0.15^10 at 0.85), and passes the sketch test, set 4.5 standard deviations lower, with 0.9999.
 
 Scale: what is shuffled per record is a 16-byte name and its 64-byte sketch, ten times. Nothing is emitted by pairs within a
-group: a node gives each record at most a link to its leader, and a group's members are linked through pivots (see
-``verify``). Groups of more than GROUP shingles are verified in blocks, against a bounded number of query records a round.
+group: a large node gives each record one row, with a link to a leader if it is like one, and the leaders' joins; a group's
+members are linked through pivots (see ``verify``). Groups of more than GROUP shingles are verified in blocks, against a bounded number of query records a round.
 
 Null, empty and word-less texts have an empty set and are linked with nothing. Rows with a null doc_id take part in links and
 get their component's smallest id. Repeated rows are in one component. An empty table gives none. Extra columns do no harm.
@@ -35,6 +37,8 @@ TREES, BRANCH, DEEPER, LEVELS = 5, 2, 14, 7
 KEPT = TREES * BRANCH + DEEPER
 NODE = 512
 LEADERS = 256
+#: Records of a large node that one task holds against those outside its largest component.
+BLOCK = 20_000
 #: Shingles of a group that one task verifies; larger groups go in blocks of about so many.
 GROUP = 4_000_000
 QUERIES = 64
@@ -130,16 +134,17 @@ def _linked(near: np.ndarray) -> np.ndarray:
     return label
 
 
-def _node_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """From rows (node, fp, sk) sorted by node: links (a, b, null) and records (a, null, node) that must branch on."""
+def _sketches(x: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(x.column("sk").to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
+def _node_rows(batches: Iterator[pa.RecordBatch], least: int, most: int, lead: int) -> Iterator[pa.RecordBatch]:
+    """From rows (node, fp, sk) sorted by node: links (a, b, null), and for each record of a node of more than ``most`` a row (a, b, node), b the leader (of up to ``lead``) that it is like, if any."""
     names = ["a", "b", "node"]
 
     def rows(a: list, b: list, node: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(node, pa.int64())], names=names)
 
-    def sk_of(x: pa.Table | pa.RecordBatch) -> np.ndarray:
-        return np.frombuffer(b"".join(x.column("sk").to_pylist()), np.uint8).reshape(-1, SKETCH)
-
     leaders: list[bytes] = []
     lead_comp: list[int] = []  # which leaders are joined already
     lead_sk = np.zeros((0, SKETCH), np.uint8)
@@ -151,20 +156,17 @@ def _node_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
         lead_sk = lead_sk[:0]
 
     def large(fps: list[bytes], sk: np.ndarray, node: int) -> pa.RecordBatch:
-        """A piece of a large node. A record is linked to the first leader it is like, and joins the others it is like to that one, unless they are; a record like none leads, or branches on."""
+        """A piece of a large node. A record is linked to the first leader it is like, and joins the others it is like to that one, unless they are; a record like none leads, if there is room."""
         nonlocal lead_sk
         a, b, n = [], [], []
         mine = np.full(len(fps), -1)
 
-        def link(x: bytes, y: bytes) -> None:
-            a.append(x)
-            b.append(y)
-            n.append(None)
-
         def join(x: int, y: int) -> None:
             old, new = lead_comp[x], lead_comp[y]
             if old != new:
-                link(leaders[x], leaders[y])
+                a.append(leaders[x])
+                b.append(leaders[y])
+                n.append(None)
                 lead_comp[:] = [new if c == old else c for c in lead_comp]
 
         if leaders:
@@ -172,10 +174,9 @@ def _node_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
             for r in np.flatnonzero(like.any(1)).tolist():
                 found = np.flatnonzero(like[r]).tolist()
                 mine[r] = found[0]
-                link(fps[r], leaders[found[0]])
                 for x in found[1:]:
                     join(x, found[0])
-        while (mine < 0).any() and len(leaders) < LEADERS:
+        while (mine < 0).any() and len(leaders) < lead:
             r, k = int(np.argmax(mine < 0)), len(leaders)
             leaders.append(fps[r])
             lead_comp.append(k)
@@ -183,16 +184,9 @@ def _node_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
             near = (sk == sk[r]).sum(1) >= least
             for x in np.unique(mine[near & (mine >= 0)]).tolist():
                 join(x, k)
-            new = near & (mine < 0)
-            mine[new] = k
-            for x in np.flatnonzero(new).tolist():
-                if x != r:
-                    link(fps[x], fps[r])
-        for r in np.flatnonzero(mine < 0).tolist():
-            a.append(fps[r])
-            b.append(None)
-            n.append(node)
-        return rows(a, b, n)
+            mine[near & (mine < 0)] = k
+        of = [leaders[k] if k >= 0 else None for k in mine.tolist()]
+        return rows(a + fps, b + [None if x == y else y for x, y in zip(fps, of, strict=True)], n + [node] * len(fps))
 
     def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node = t.column("node").to_numpy()
@@ -200,14 +194,14 @@ def _node_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
         size = np.diff(cut)
         if not (size > 1).any():
             return
-        sk, fps = sk_of(t), t.column("fp").to_pylist()
+        sk, fps = _sketches(t), t.column("fp").to_pylist()
         a, b = [], []
         two = cut[:-1][size == 2]
         for k in two[(sk[two] == sk[two + 1]).sum(1) >= least].tolist():
             a.append(fps[k])
             b.append(fps[k + 1])
         for lo, hi in zip(cut[:-1][size > 2].tolist(), cut[1:][size > 2].tolist(), strict=True):
-            if hi - lo > NODE:
+            if hi - lo > most:
                 yield large(fps[lo:hi], sk[lo:hi], int(node[lo]))
                 forget()
                 continue
@@ -227,7 +221,7 @@ def _node_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
             n = int(np.searchsorted(node, open_node, "right")) if node[0] == open_node else 0
             if n:
                 part = batch.slice(0, n)
-                yield large(part.column("fp").to_pylist(), sk_of(part), open_node)
+                yield large(part.column("fp").to_pylist(), _sketches(part), open_node)
             if n == len(node):
                 continue
             open_node, batch, node = None, batch.slice(n), node[n:]
@@ -240,37 +234,84 @@ def _node_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
             yield from whole(pa.Table.from_batches([*held, batch.slice(0, last)]))
             held = []
         held.append(batch.slice(last))
-        if sum(x.num_rows for x in held) > NODE:
+        if sum(x.num_rows for x in held) > most:
             open_node = int(node[-1])
             t = pa.Table.from_batches(held)
-            yield large(t.column("fp").to_pylist(), sk_of(t), open_node)
+            yield large(t.column("fp").to_pylist(), _sketches(t), open_node)
             held = []
     if held:
         yield from whole(pa.Table.from_batches(held))
 
 
-def candidates(records: DataFrame, stage: Stage, percent: int) -> DataFrame:
-    """Links (a, b) between names of records(fp, sk, mins) that may hold; linear in the records."""
-    least = least_agreement(percent)
+def _outside_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) from rows (part, big, fp, sk) sorted by part and big: the records with big = false, which are few, against each other and all the rest, at most one link for each two groups of them and one for a group and the rest."""
+    part = None
+    few: list[bytes] = []
+    few_sk = np.zeros((0, SKETCH), np.uint8)
+    open_: np.ndarray | None = None  # groups of the few that are not linked to the rest; None before the rest has begun
+    label = np.zeros(0, int)
+    for batch in batches:
+        parts, big = batch.column("part").to_numpy(), batch.column("big").to_numpy(zero_copy_only=False)
+        fps, sk = batch.column("fp").to_pylist(), _sketches(batch)
+        cut = np.flatnonzero(np.concatenate(([True], (parts[1:] != parts[:-1]) | (big[1:] != big[:-1]), [True]))) if len(parts) else [0]
+        a, b = [], []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if parts[lo] != part:
+                part, few, few_sk, open_ = parts[lo], [], few_sk[:0], None
+            if not big[lo]:
+                few += fps[lo:hi]
+                few_sk = np.concatenate((few_sk, sk[lo:hi]))
+                continue
+            if open_ is None:
+                label = _linked(_agree(few_sk, few_sk) >= least)
+                for k in np.flatnonzero(label != np.arange(len(few))).tolist():
+                    a.append(few[k])
+                    b.append(few[int(label[k])])
+                open_ = np.unique(label)
+            ask = np.flatnonzero(np.isin(label, open_))
+            if not len(ask):
+                continue
+            like = _agree(few_sk[ask], sk[lo:hi]) >= least
+            hit = like.any(1)
+            groups, at = np.unique(label[ask[hit]], return_index=True)
+            for k in np.flatnonzero(hit)[at].tolist():
+                a.append(few[int(ask[k])])
+                b.append(fps[lo + int(like[k].argmax())])
+            open_ = np.setdiff1d(open_, groups)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def candidates(records: DataFrame, stage: Stage, percent: int, most: int | None = None, lead: int | None = None) -> DataFrame:
+    """Links (a, b) between names of records(fp, sk, mins) that may hold; linear in the records. most, lead: NODE and LEADERS unless given."""
+    least, most, lead = least_agreement(percent), most or NODE, lead or LEADERS
     first = F.transform(F.sequence(F.lit(0), F.lit(TREES * BRANCH - 1)), lambda c: F.xxhash64(c, F.get("mins", c)))
     level = records.select("fp", "sk", F.explode(first).alias("node"))
-    found = []
+    every = None
     for depth in range(LEVELS):
-        rows = level.select("node", "fp", "sk").repartition("node").sortWithinPartitions("node")
-        out = stage.put(rows.mapInArrow(lambda x: _node_rows(x, least), "a binary, b binary, node long"))
-        found.append(out.where("b IS NOT NULL").select("a", "b"))
-        on = out.where("b IS NULL").select(F.col("a").alias("fp"), F.col("node").alias("path"))
+        rows = level.select("node", "fp", "sk").repartition("node").sortWithinPartitions("node", "fp")
+        out = stage.put(rows.mapInArrow(lambda x: _node_rows(x, least, most, lead), "a binary, b binary, node long"))
+        links = out.where("b IS NOT NULL").select("a", "b")
+        every = every.union(links) if every is not None else links
+        on = out.where("node IS NOT NULL").select(F.col("a").alias("fp"), F.col("node").alias("path"))
         if on.isEmpty():
             break
         if depth == LEVELS - 1:  # records that agree in every chosen coordinate: one candidate group a node
             low = on.groupBy("path").agg(F.min("fp").alias("b")).withColumnRenamed("path", "p")
-            found.append(on.join(low, F.col("path") == F.col("p")).select(F.col("fp").alias("a"), "b").where("a <> b"))
+            every = every.union(on.join(low, F.col("path") == F.col("p")).select(F.col("fp").alias("a"), "b").where("a <> b"))
+            break
+        known = components(stage, every).withColumnRenamed("node", "f")
+        on = stage.put(on.join(known, F.col("fp") == F.col("f"), "left").select("fp", "path", F.coalesce("comp", "fp").alias("comp")))
+        sizes = on.groupBy("path", "comp").count().groupBy(F.col("path").alias("p")).agg(F.sum("count").alias("n"), F.max("count").alias("n_big"), F.max_by("comp", F.struct("count", "comp")).alias("big"))
+        sizes = stage.put(sizes.where("n > n_big"))  # a node within one component has nothing to add
+        few = on.join(small(sizes.where(F.col("n") - F.col("n_big") <= most)), F.col("path") == F.col("p")).join(records.select("fp", "sk"), "fp")
+        few = few.withColumns({"big": F.col("comp") == F.col("big"), "blocks": F.ceil(F.col("n") / BLOCK).cast("int")})
+        block = F.when(F.col("big"), F.array(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+        few = few.select("path", "big", "fp", "sk", F.explode(block).alias("block")).select(F.xxhash64("path", "block").alias("part"), "big", "fp", "sk")
+        every = every.union(stage.put(few.repartition("part").sortWithinPartitions("part", "big").mapInArrow(lambda x: _outside_rows(x, least), "a binary, b binary")))
+        on = on.join(small(sizes.where(F.col("n") - F.col("n_big") > most).select("p")), F.col("path") == F.col("p")).select("fp", "path")
         # a coordinate of a path is not chosen again: the order starts at a place that depends on the root and goes round
         pick = lambda j, depth=depth: F.lit(TREES * BRANCH) + F.pmod(F.lit(depth * BRANCH + j), F.lit(DEEPER)).cast("int")
         level = on.join(records, "fp").select("fp", "sk", F.explode(F.array(*(F.xxhash64("path", pick(j), F.get("mins", pick(j))) for j in range(BRANCH)))).alias("node"))
-    every = found[0]
-    for x in found[1:]:
-        every = every.union(x)
     return every
 
 
@@ -392,13 +433,13 @@ def verify(docs: DataFrame, members: DataFrame, stage: Stage, k: int, percent: i
         first = False
 
 
-def near_duplicates(docs: DataFrame, stage: Stage, k: int, percent: int, group: int = GROUP) -> DataFrame:
-    """Rows (doc_id, h, n_shingles, component_id) for each row of docs(doc_id, text); h is a hash of the text."""
+def near_duplicates(docs: DataFrame, stage: Stage, k: int, percent: int, group: int = GROUP, most: int | None = None, lead: int | None = None) -> DataFrame:
+    """Rows (doc_id, h, n_shingles, component_id) for each row of docs(doc_id, text); h is a hash of the text. most, lead: see ``candidates``."""
     docs = docs.select("doc_id", "text")
     digests = stage.put(digest(docs, k))
     records = digests.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("low"), F.max(F.struct("doc_id", "h")).alias("at"), F.first("sk").alias("sk"), F.first("mins").alias("mins"), F.first("n_shingles").alias("n_shingles"))
     records = stage.put(records)
-    groups = components(stage, candidates(records.select("fp", "sk", "mins"), stage, percent))
+    groups = components(stage, candidates(records.select("fp", "sk", "mins"), stage, percent, most, lead))
     members = stage.put(groups.withColumnRenamed("comp", "cluster").join(records, F.col("node") == F.col("fp")).select("cluster", "fp", "at.doc_id", "at.h", "n_shingles", "low"))
     found = stage.put(verify(docs, members, stage, k, percent, group))
     lows = found.join(members.select(F.col("fp").alias("f"), "low"), F.col("fp") == F.col("f")).select("fp", "comp", "low")

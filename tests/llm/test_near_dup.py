@@ -123,3 +123,23 @@ def test_shingles_follow_the_words():
     sets = nd.shingle_sets(pa.array(texts), 3)
     assert [len(s) for s in sets] == [2, 1, 1, 0, 0, 2]
     assert set(sets[1]) < set(sets[0]) and not set(sets[2]) & set(sets[0])
+
+
+def test_links_across_leaders_of_a_large_node(spark, stage):
+    """x is like leader A, y is like leader B only, and x is like y: in each of its ten roots the pair meets in one large node."""
+    least = nd.least_agreement(85)
+    sketches = [np.zeros(nd.SKETCH, np.uint8) for _ in range(nd.NODE + 200)]
+    x, y, b = (np.zeros(nd.SKETCH, np.uint8) for _ in range(3))
+    x[: nd.SKETCH - least] = 1
+    y[: nd.SKETCH - least] = 1
+    y[nd.SKETCH - least :][:10] = 2
+    b[:] = y
+    b[-20:] = 3
+    sketches[1:4] = [b, x, y]
+    agree = lambda p, q: int((sketches[p] == sketches[q]).sum()) >= least
+    assert agree(0, 2) and agree(1, 3) and agree(2, 3) and not agree(0, 3) and not agree(0, 1) and not agree(1, 2)
+    rows = [(b"%05d" % k, s.tobytes(), list(range(nd.KEPT))) for k, s in enumerate(sketches)]
+    links = nd.candidates(spark.createDataFrame(rows, "fp binary, sk binary, mins array<long>").coalesce(1), stage, 85)
+    comps = {bytes(r["node"]): r["comp"] for r in components(stage, links).collect()}
+    assert len(comps) == len(rows) and len({bytes(c) for c in comps.values()}) == 1
+    assert links.count() <= 30 * len(rows)
