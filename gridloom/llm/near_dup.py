@@ -7,8 +7,10 @@ records first compares each with leaders it picks. Then, by the components of al
 if at most NODE records are outside its largest component, those are held against all others; else all its records branch on,
 by further coordinates, to the next level. What shares a node of the last level is one candidate group.
 Candidates only say what to look at: their connected groups are then taken by their full sets, and a link holds if
-100 * intersection >= percent * union. With five trees of two coordinates a pair at the threshold meets with a
-probability of over 0.9999 (1 - 0.15^10 at 0.85), and passes the sketch test, set 4.5 standard deviations lower, with 0.9999.
+100 * intersection >= percent * union. A pair at a threshold of 0.85 shares a root with 0.85, and if nodes stay large all the way
+down a shared root brings it together with over 0.96 (p = 1 - (1 - 0.85 p)^2); the ten roots branch by coordinates of their own
+(the first 20 and the next 20 are distinct), so it meets with a probability of over 0.9999, and passes the sketch test, set 4.5
+standard deviations lower, with 0.9999.
 
 Scale: what is shuffled per record is a 16-byte name and its 64-byte sketch, ten times. Nothing is emitted by pairs within a
 group: a large node gives each record one row, with a link to a leader if it is like one, and the leaders' joins; a group's
@@ -32,9 +34,9 @@ from .common import Stage, arrow_batches, components, read, runs, small, text_ke
 from .textnp import mix, white_table, windows, words
 
 SKETCH = 64
-#: Coordinates kept in full for branching: two for each tree's root, the rest for deeper levels.
-TREES, BRANCH, DEEPER, LEVELS = 5, 2, 14, 7
-KEPT = TREES * BRANCH + DEEPER
+#: Coordinates kept in full: the roots, two for each tree. Deeper levels branch by the sketch bytes of the others.
+TREES, BRANCH, LEVELS = 5, 2, 7
+KEPT = ROOTS = TREES * BRANCH
 NODE = 512
 LEADERS = 256
 #: Records of a large node that one task holds against those outside its largest component.
@@ -284,7 +286,8 @@ def _outside_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
 def candidates(records: DataFrame, stage: Stage, percent: int, most: int | None = None, lead: int | None = None) -> DataFrame:
     """Links (a, b) between names of records(fp, sk, mins) that may hold; linear in the records. most, lead: NODE and LEADERS unless given."""
     least, most, lead = least_agreement(percent), most or NODE, lead or LEADERS
-    first = F.transform(F.sequence(F.lit(0), F.lit(TREES * BRANCH - 1)), lambda c: F.xxhash64(c, F.get("mins", c)))
+    node = lambda root, name: name.bitwiseAND(F.lit(-16)).bitwiseOR(root.cast("long"))  # noqa: E731  its last four bits are its root
+    first = F.transform(F.sequence(F.lit(0), F.lit(ROOTS - 1)), lambda c: node(c, F.xxhash64(c, F.get("mins", c))))
     level = records.select("fp", "sk", F.explode(first).alias("node"))
     every = None
     for depth in range(LEVELS):
@@ -309,9 +312,11 @@ def candidates(records: DataFrame, stage: Stage, percent: int, most: int | None
         few = few.select("path", "big", "fp", "sk", F.explode(block).alias("block")).select(F.xxhash64("path", "block").alias("part"), "big", "fp", "sk")
         every = every.union(stage.put(few.repartition("part").sortWithinPartitions("part", "big").mapInArrow(lambda x: _outside_rows(x, least), "a binary, b binary")))
         on = on.join(small(sizes.where(F.col("n") - F.col("n_big") > most).select("p")), F.col("path") == F.col("p")).select("fp", "path")
-        # a coordinate of a path is not chosen again: the order starts at a place that depends on the root and goes round
-        pick = lambda j, depth=depth: F.lit(TREES * BRANCH) + F.pmod(F.lit(depth * BRANCH + j), F.lit(DEEPER)).cast("int")
-        level = on.join(records, "fp").select("fp", "sk", F.explode(F.array(*(F.xxhash64("path", pick(j), F.get("mins", pick(j))) for j in range(BRANCH)))).alias("node"))
+        # a coordinate of a path is not chosen again, and each root's next ones are others: the order starts at a place that depends on the root and goes round
+        root = F.col("path").bitwiseAND(F.lit(15))
+        pick = lambda j, depth=depth, root=root: (F.lit(ROOTS) + F.pmod(root * BRANCH + depth * ROOTS * BRANCH + j, F.lit(SKETCH - ROOTS))).cast("int")
+        step = lambda j, root=root, pick=pick: node(root, F.xxhash64("path", pick(j), F.col("sk").substr(pick(j) + 1, F.lit(1))))
+        level = on.join(records, "fp").select("fp", "sk", F.explode(F.array(*map(step, range(BRANCH)))).alias("node"))
     return every
 
 

@@ -143,3 +143,17 @@ def test_links_across_leaders_of_a_large_node(spark, stage):
     comps = {bytes(r["node"]): r["comp"] for r in components(stage, links).collect()}
     assert len(comps) == len(rows) and len({bytes(c) for c in comps.values()}) == 1
     assert links.count() <= 30 * len(rows)
+
+
+def test_recall_where_all_roots_are_large(spark, stage):
+    """1000 pairs that agree in 54 of 64 coordinates, all in the same ten root nodes: which coordinates differ must not matter."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for p in range(1000):
+        x = rng.integers(0, 256, nd.SKETCH, dtype=np.uint8)
+        y = x.copy()
+        y[rng.permutation(nd.SKETCH)[:10]] ^= 255
+        rows += [(b"%05d" % (2 * p + k), s.tobytes(), [0] * 10 + s[10:].tolist()) for k, s in enumerate((x, y))]
+    links = nd.candidates(spark.createDataFrame(rows, "fp binary, sk binary, mins array<long>"), stage, 85, most=64, lead=8)
+    comps = {int(r["node"]): int(r["comp"]) for r in components(stage, links).collect()}
+    assert comps == {k: k - k % 2 for k in range(2000)}
