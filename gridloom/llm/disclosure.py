@@ -74,7 +74,8 @@ def contexts(text: Column, base: Column) -> Column:
         left = text.substr(F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
         right = text.substr(s["end"] + 1, F.lit(CONTEXT))
         left = F.when(s["start"] > CONTEXT, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-        terms = F.regexp_extract_all(F.concat(left, F.lit(" "), F.regexp_replace(right, r"\p{L}+$", "")), F.lit(TERM), F.lit(0))
+        right = F.when(F.length(text) > s["end"] + CONTEXT, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+        terms = F.regexp_extract_all(F.concat(left, F.lit(" "), right), F.lit(TERM), F.lit(0))
         return F.struct(F.md5(F.concat_ws(":", s["kind"], F.lower(s["value"])).cast("binary")).alias("entity"), F.transform(terms, lambda t: F.lower(t)).alias("terms"))
 
     return F.transform(base, near)

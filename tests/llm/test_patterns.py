@@ -146,6 +146,15 @@ def test_disclosing_terms(documents, stage):
     assert "orblax" not in clean[300] and "orblax" not in clean[203] and "[email]" in clean[203] and clean[301] is None and clean[5] == texts[5][1]
 
 
+def test_term_that_ends_the_text(documents, stage):
+    """The last word of a text is whole; only where the text goes on beyond the context is it cut."""
+    docs = documents([(k, f"plain words number {chr(97 + k) * 5}") for k in range(20)] + [(100 + k, "write to a@b.com Smithson") for k in range(4)] + [(200, "Smithson left"), (201, "mail c@d.com " + "x" * 130)])
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(docs, stage).collect()}
+    assert "Smithson" not in clean[100] and "Smithson" not in clean[200]
+    near = {r["doc_id"]: r["near"] for r in docs.select("doc_id", "text").transform(disclosure.base_spans).select("doc_id", disclosure.contexts(docs["text"], disclosure.F.col("base")).alias("near")).collect()}
+    assert near[100][0]["terms"] == ["write", "smithson"] and near[201][0]["terms"] == ["mail"]
+
+
 def test_empty_tables_and_clashing_columns(spark, documents, edges, stage):
     assert disclosure.find(documents([]), stage, ["doc_id"]).count() == 0
     assert secret_scan.scan(documents([])).count() == 0
