@@ -78,23 +78,66 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def block_runs(words: list[int], least: int) -> set[tuple[int, int]]:
+    """The shortest runs (from, to) of at least ``least`` words from each place on and up to each place. Each place of a longer run is in one of these that lies within it."""
+    out, lo, hi, n = set(), 0, 0, 0
+    for lo in range(len(words)):
+        while hi < len(words) and n < least:
+            n += words[hi]
+            hi += 1
+        if n < least:
+            break
+        out.add((lo, hi))
+        n -= words[lo]
+    lo = n = 0
+    for hi in range(len(words)):
+        n += words[hi]
+        while n - words[lo] >= least:
+            n -= words[lo]
+            lo += 1
+        if n >= least:
+            out.add((lo, hi + 1))
+    return out
+
+
+def _unanchored(a: list, b: list, words: list[int], least: int) -> list[tuple[int, int]]:
+    """The shortest runs of b that a has too."""
+    of, mine, part = dict(zip(b, words, strict=True)), set(), []
+    for x in [*a, None]:
+        if x in of:
+            part.append(x)
+        elif part:
+            mine.update(tuple(part[lo:hi]) for lo, hi in block_runs([of[y] for y in part], least))
+            part = []
+    return [(lo, hi) for lo, hi in block_runs(words, least) if tuple(b[lo:hi]) in mine]
+
+
 def common_blocks(a: list, b: list, words: list[int], least: int = BLOCK_WORDS) -> list[int]:
-    """Lines of b that lie in blocks of at least ``least`` words which a has too. What is moved about is found by aligning again without the lines already found."""
-    left, gone = list(b), []
+    """Lines of b that lie in blocks of at least ``least`` words which a (without blank lines) has too. Blank lines, those of no words, part no block, and go with the block they are in. What is moved
+    about is found by aligning again without the lines already found; what repeats, and so has no line to anchor it, by its runs."""
+    full = [j for j in range(len(b)) if words[j]]
+    lines, size = [b[j] for j in full], [words[j] for j in full]
+    left, blocks = list(lines), []
     while True:
         block: list[tuple[int, int]] = []
-        found: list[int] = []
+        found: list[tuple[int, int]] = []
         for i, j in [*patience(a, left), (-9, -9)]:
             if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
-                if sum(words[y] for _, y in block) >= least:
-                    found += [y for _, y in block]
+                if sum(size[y] for _, y in block) >= least:
+                    found.append((block[0][1], block[-1][1] + 1))
                 block = []
             block.append((i, j))
         if not found:
-            return sorted(gone)
-        gone += found
-        for y in found:
-            left[y] = ("gone", y)
+            break
+        blocks += found
+        for lo, hi in found:
+            for y in range(lo, hi):
+                left[y] = ("gone", y)
+    blocks += _unanchored(a, lines, size, least)
+    gone = bytearray(len(b))
+    for lo, hi in blocks:
+        gone[full[lo] : full[hi - 1] + 1] = b"\1" * (full[hi - 1] + 1 - full[lo])
+    return [j for j, x in enumerate(gone) if x]
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
@@ -121,7 +164,7 @@ def removals(docs: DataFrame, stage: Stage, least: int = BLOCK_WORDS) -> DataFra
     arrow_batches(docs.sparkSession)
     lined = stage.put(with_lines(docs).dropDuplicates(["d", "h"]))
     both = stage.put(pairs(lined, least))
-    one = lined.select(F.col("d").alias("d1"), F.col("h").alias("h1"), F.col("line").alias("a"))
+    one = lined.select(F.col("d").alias("d1"), F.col("h").alias("h1"), F.filter("line", lambda x, k: F.get("words", k) > 0).alias("a"))
     two = lined.select(F.col("d").alias("d2"), F.col("h").alias("h2"), F.col("line").alias("b"), F.col("words"))
     rows = both.join(one, ["d1", "h1"]).join(two, ["d2", "h2"]).select("d2", "h2", "a", "b", "words")
 

@@ -25,6 +25,25 @@ def test_alignment_of_moved_and_repeated_lines():
     assert ld.common_blocks([1, 2, 3, 4], [1, 2, 3, 9, 4], w, 40) == []
 
 
+def test_blocks_without_an_anchor_and_with_blank_lines():
+    w = [20] * 5
+    assert ld.common_blocks([8, 1, 2, 9, 1, 2, 7], [5, 1, 2, 6, 4], w, 40) == [1, 2]
+    assert ld.common_blocks([8, 1, 2, 7], [1, 2, 5, 1, 2], w, 40) == [0, 1, 3, 4]
+    assert ld.common_blocks([1, 2, 3], [1, 0, 2, 0, 3], [20, 0, 20, 0, 20], 40) == [0, 1, 2, 3, 4]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
+def test_blocks_against_all_runs(a, b):
+    words = [7, 20, 40, 3, 11]
+    want = set()
+    for lo in range(len(b)):
+        for hi in range(lo + 1, len(b) + 1):
+            if sum(words[x] for x in b[lo:hi]) >= 40 and any(a[i : i + hi - lo] == b[lo:hi] for i in range(len(a))):
+                want |= set(range(lo, hi))
+    assert ld.common_blocks(a, b, [words[x] for x in b], 40) == sorted(want)
+
+
 def test_dedup(documents, stage):
     rng = random.Random(2)
     line = lambda n=12: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
