@@ -1,12 +1,10 @@
 """Line dedup by pairwise alignment.
 
-Lines that two documents share bring them together; patience diff aligns the pair; aligned blocks of at least BLOCK_WORDS
-words are deleted from the later document (by doc_id). A document is held against the earliest document that has its line, so
-the pairs are at most as many as there are shared lines, and a line in every document costs one pair a document.
-
-Which shared lines count as rare enough to bring documents together needs no cap on their number: a run of neighbouring
-shared lines that has fewer than BLOCK_WORDS words cannot hold a block, so common short lines fall out exactly, and of the
-lines that point at the same earlier document one stands for all.
+Runs of lines that two documents share, each as short as can hold a block of BLOCK_WORDS words, bring them together; patience
+diff aligns the pair; aligned blocks of at least BLOCK_WORDS words are deleted from the later document (by doc_id). A document is
+held against the earliest document that has the run, for each of its runs, so the pairs are at most as many as there are shared
+runs, and a run in every document costs one pair a document. Each line of a block is in such a run within the block, so the
+earliest document with the block, or with that part of it, is always a partner. Blank lines do not count.
 
 A line's first document never loses it, so some copy of every line stays. Null texts have no lines and stay null. Rows that
 share doc_id and text are one document; rows with a null doc_id come last. An empty table gives none. Extra columns
@@ -19,7 +17,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, Stage, arrow_batches, read, text_key
@@ -147,23 +145,34 @@ def with_lines(docs: DataFrame) -> DataFrame:
     return out.select("d", "h", F.col("rows.line").alias("line"), F.col("rows.words").alias("words"))
 
 
-def pairs(lined: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
-    """Pairs (d1, h1, d2, h2) of a document and an earlier one that may share a block."""
-    each = lined.select("d", "h", F.posexplode(F.filter(F.arrays_zip("line", "words"), lambda x: x["words"] > 0)).alias("pos", "x")).select("d", "h", "pos", "x.line", "x.words")
-    firsts = each.groupBy("line").agg(F.min(F.struct("d", "h")).alias("first"), F.max(F.struct("d", "h")).alias("last")).where("first <> last").select(F.col("line").alias("k"), "first")
-    shared = each.join(firsts, F.col("line") == F.col("k")).select("d", "h", "pos", "words", "first").where("first < struct(d, h)")
-    rest = Window.partitionBy("d", "h").orderBy("pos")
-    # places are those among the lines that aren't blank; a line whose first document this is breaks a run
-    runs = shared.withColumn("jump", (F.col("pos") - F.lag("pos", 1, -9).over(rest) > 1).cast("int")).withColumn("run", F.sum("jump").over(rest.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.withColumn("total", F.sum("words").over(Window.partitionBy("d", "h", "run")))
-    return runs.where(F.col("total") >= least).select(F.col("first.d").alias("d1"), F.col("first.h").alias("h1"), F.col("d").alias("d2"), F.col("h").alias("h2")).distinct()
+def keyed(lined: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
+    """Rows (d, h, keys): hashes of the document's shortest runs of non-blank lines that can hold a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keys = []
+            for line, words in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
+                full = [k for k, n in enumerate(words) if n]
+                lines = [line[k] for k in full]
+                keys.append(list({hash(tuple(lines[lo:hi])) for lo, hi in block_runs([words[k] for k in full], least)}))
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["d", "h", "keys"])
+
+    return lined.select("d", "h", "line", "words").mapInArrow(run, "d long, h long, keys array<long>")
+
+
+def pairs(keys: DataFrame) -> DataFrame:
+    """Pairs (d1, h1, d2, h2) of a document of keys(d, h, keys) and the earliest that has one of its keys, if that is another."""
+    each = keys.select("d", "h", F.explode("keys").alias("key"))
+    firsts = each.groupBy("key").agg(F.min(F.struct("d", "h")).alias("first"), F.max(F.struct("d", "h")).alias("last")).where("first <> last").select(F.col("key").alias("k"), "first")
+    shared = each.join(firsts, F.col("key") == F.col("k")).where("first < struct(d, h)")
+    return shared.select(F.col("first.d").alias("d1"), F.col("first.h").alias("h1"), F.col("d").alias("d2"), F.col("h").alias("h2")).distinct()
 
 
 def removals(docs: DataFrame, stage: Stage, least: int = BLOCK_WORDS) -> DataFrame:
     """Rows (d, h, gone): the numbers of the lines that a document loses."""
     arrow_batches(docs.sparkSession)
     lined = stage.put(with_lines(docs).dropDuplicates(["d", "h"]))
-    both = stage.put(pairs(lined, least))
+    both = stage.put(pairs(stage.put(keyed(lined, least))))
     one = lined.select(F.col("d").alias("d1"), F.col("h").alias("h1"), F.filter("line", lambda x, k: F.get("words", k) > 0).alias("a"))
     two = lined.select(F.col("d").alias("d2"), F.col("h").alias("h2"), F.col("line").alias("b"), F.col("words"))
     rows = both.join(one, ["d1", "h1"]).join(two, ["d2", "h2"]).select("d2", "h2", "a", "b", "words")

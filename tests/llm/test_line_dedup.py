@@ -63,6 +63,15 @@ def test_dedup(documents, stage):
     assert len(got) == 12
 
 
+def test_first_document_with_the_lines_but_not_the_block(documents, stage):
+    """Documents 1 and 2 hold the passage's lines scattered; 3 is the first with the passage, 4 and 5 lose it."""
+    p = [" ".join(f"p{k}w{j}" for j in range(14)) for k in range(4)]
+    docs = documents([(1, "\n".join([p[3], "x one", p[1], "x two", p[0]])), (2, f"y\n{p[2]}\nz"), (3, "\n".join(["three", *p])), (4, "\n".join(["four", *p, "end"])), (5, "\n".join([*p, "five"]))])
+    got = {r["doc_id"]: r["text"] for r in ld.dedup(docs, stage).collect()}
+    assert got[3] == "\n".join(["three", *p]) and got[4] == "four\nend" and got[5] == "five"
+    assert got[1].count("\n") == 4 and got[2].count("\n") == 2
+
+
 def test_every_line_stays_somewhere(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
