@@ -34,8 +34,6 @@ PATTERNS = {
 }
 #: Nats by which the random model must lead.
 MARGIN = 12.0
-#: Labelled samples that the models are trained on, at most.
-MOST_SAMPLES = 20_000
 
 
 def default_samples(seed: int = 7) -> list[tuple[str, bool]]:
@@ -51,7 +49,7 @@ def train(samples: list[tuple[str, bool]]) -> list[float]:
     """Log-likelihood ratio (random against identifier) of each pair of neighbouring characters, row by row of ALPHABET."""
     n, place = len(ALPHABET), {c: i for i, c in enumerate(ALPHABET)}
     counts = {True: [[1.0] * n for _ in range(n)], False: [[1.0] * n for _ in range(n)]}
-    for text, secret in samples[:MOST_SAMPLES]:
+    for text, secret in samples:
         for a, b in zip(text, text[1:], strict=False):
             if a in place and b in place:
                 counts[secret][place[a]][place[b]] += 1
