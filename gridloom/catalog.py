@@ -199,8 +199,8 @@ def matrix_arithmetic(spark, sf_dir):
 @query("SELECT bool_and(value > 0) AS \"all\", bool_or(value > 100) AS \"any\", NOT bool_or(value > 1e9) AS \"none\", CAST(count(*) FILTER (value < 10) AS BIGINT) AS count FROM events")
 def truths(spark, sf_dir):
     x = Matrix.from_wide(table(spark, sf_dir, "events"), "event_id", ["value"])
-    of = lambda f: reductions.truths(x, f)
-    return of(E.greater(0)).select("all").join(of(E.greater(100)).select("any"), how="cross").join(of(E.greater(1e9)).select("none"), how="cross").join(of(E.less(10)).select("count"), how="cross")
+    asked = {"all": E.greater(0), "any": E.greater(100), "none": E.greater(1e9), "count": E.less(10)}
+    return reductions.truths_of(x, asked).select(*(F.col(f"{kind}.{kind}").alias(kind) for kind in asked))
 
 
 @query("SELECT round(sum(value * value) / 1e3, 4) AS auto_dot, round(sqrt(sum(value * value)), 6) AS length, round(sum(abs(value)), 4) AS l1, round(sqrt(sum(value * value)), 6) AS l2, round(pow(sum(value * value * value), 1 / 3.0::DOUBLE), 6) AS l3 FROM events")

@@ -31,5 +31,9 @@ class SingularMatrix(MatrixError):
     """A matrix without an inverse."""
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster that names no folder for tables which outlive a lost executor."""
+
+
 class TooLarge(MatrixError):
     """A matrix that does not fit on the driver."""

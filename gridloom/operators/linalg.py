@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from gridloom import errors
 from gridloom.functions import elementwise as E
 from gridloom.operators.reductions import SUM, expression
-from gridloom.plans.matrix import Matrix
+from gridloom.plans.matrix import LOCAL_CELLS, Matrix
+from gridloom.plans.workspace import ship
 
 #: Cells of a factor that is shipped to the tasks.
 SHIP_CELLS = 1_000_000
@@ -48,6 +49,7 @@ def product_local(a: Matrix, b: np.ndarray) -> Matrix:
     """a times a matrix of the driver: each Arrow batch of rows is one dense product."""
     if a.n != b.shape[0]:
         raise errors.IncompatibleShapes(f"{a.n} columns times {b.shape}")
+    ship(a.df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -68,11 +70,15 @@ def product_cells(a: Matrix, b: Matrix) -> Matrix:
 
 
 def product_blocks(a: Matrix, b: Matrix, side: int = BLOCK) -> Matrix:
-    """Blocks of cells joined on the inner block, dense products in the tasks, summed by place. A block has side * side cells, whatever the matrices are."""
+    """Blocks (i, k) of a go to every block column of b and blocks (k, j) of b to every block row of a; each (i, j, k) is a dense product in some task, summed by place. A block has side * side cells, whatever the matrices are, and the tasks are as many as the products of blocks, also where the inner side is short."""
+    ship(a.df.sparkSession)
+    down, across = -(-a.m // side), -(-b.n // side)
     cell = lambda df, i, j: df.select(i.cast("int").alias("bi"), j.cast("int").alias("bj"), F.struct((F.col("i") % side).cast("int").alias("r"), (F.col("j") % side).cast("int").alias("c"), "v").alias("s"))
     left = cell(a.to_coo().df, F.floor(F.col("i") / side), F.floor(F.col("j") / side)).groupBy("bi", "bj").agg(F.collect_list("s").alias("a"))
     right = cell(b.to_coo().df, F.floor(F.col("i") / side), F.floor(F.col("j") / side)).groupBy("bi", "bj").agg(F.collect_list("s").alias("b"))
-    pairs = left.select(F.col("bi").alias("i"), F.col("bj").alias("k"), "a").join(right.select(F.col("bi").alias("k"), F.col("bj").alias("j"), "b"), "k").select("i", "j", "a", "b")
+    left = left.select(F.col("bi").alias("i"), F.col("bj").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("j"), "a")
+    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("i"), F.col("bi").alias("k"), F.col("bj").alias("j"), "b")
+    pairs = left.join(right, ["i", "j", "k"]).select("i", "j", "a", "b")
 
     def dense(s: pa.StructScalar) -> np.ndarray:
         cells = s.values
@@ -92,9 +98,16 @@ def product_blocks(a: Matrix, b: Matrix, side: int = BLOCK) -> Matrix:
     return Matrix(done.select("i", "j", "v"), "coo", b.n, a.rows)
 
 
+def _fits(n: int) -> None:
+    """An n x n result must fit on the driver and in each task; beyond, ``product_blocks`` of the transpose and x is the way."""
+    if n * n > LOCAL_CELLS:
+        raise errors.TooLarge(f"{n} x {n} cells")
+
+
 def gram(x: Matrix) -> np.ndarray:
-    """X'X on the driver (action): one aggregate with a sum for each pair of few columns, else partial products of batches, summed by place. One pass, no join."""
+    """X'X on the driver (action): one aggregate with a sum for each pair of few columns, else partial products of batches, summed by place. One pass, no join. Refused where X'X would not fit on the driver."""
     n = x.n
+    _fits(n)
     if n <= PAIR_COLUMNS:
         wide = x.to_wide()
         row = wide.df.agg(*(F.coalesce(F.sum(F.col(f"f{a}") * F.col(f"f{b}")), E.num(0)).alias(f"g{a}_{b}") for a in range(n) for b in range(a, n))).first()
@@ -103,6 +116,7 @@ def gram(x: Matrix) -> np.ndarray:
             for b in range(a, n):
                 out[a, b] = out[b, a] = row[f"g{a}_{b}"]
         return out
+    ship(x.df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros((n, n))
@@ -145,6 +159,7 @@ def z_scores(x: Matrix) -> Matrix:
 
 def covariance(x: Matrix) -> np.ndarray:
     """The population covariance on the driver: one pass for few columns, else one for the means and one for partial products of centred rows (actions)."""
+    _fits(x.n)
     if x.n > PAIR_COLUMNS:
         coo = x.to_coo().df.groupBy("j").agg(F.avg("v").alias("mu"), F.count("*").alias("m")).collect()
         mu, m = np.zeros(x.n), max((r["m"] for r in coo), default=0)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import descent
 from gridloom.operators.shape import pack, unpack
+from gridloom.plans.workspace import ship
 
 Layers = list[np.ndarray]
 
@@ -82,6 +83,7 @@ def _rows(t: pa.RecordBatch) -> np.ndarray:
 
 def cost_grad(data: DataFrame, layers: Layers, lam: float = 0.0, first_label: int = 1, gradient: bool = True) -> tuple[float, Layers]:
     """Cost and gradients over data(x array<double>, y: label counted from first_label); one pass, one small aggregate (action)."""
+    ship(data.sparkSession)
     shapes, classes = [w.shape for w in layers], len(layers[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +132,7 @@ def train(data: DataFrame, layers: Layers, lam: float = 0.0, iterations: int = 5
 
 def activations(data: DataFrame, layers: Layers) -> DataFrame:
     """data (with x array<double>) and h, the output activations of each row."""
+    ship(data.sparkSession)
     names = data.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

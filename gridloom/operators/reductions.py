@@ -89,9 +89,19 @@ def norm_expression(x: Matrix, order: int) -> Column:
 # --- truth ---
 
 
+def truths_of(x: Matrix, predicates: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row with a struct for each predicate (0 or 1): all, any, none (boolean) and count (long) of the cells for which it holds. No cells: true, false, true, 0. One pass for all of them."""
+
+    def of(f: Callable[[Column], Column]) -> Column:
+        some = expression(x, OR, f)
+        return F.struct((expression(x, AND, f) != 0).alias("all"), (some != 0).alias("any"), (some == 0).alias("none"), expression(x, SUM, lambda v: E.truth(f(v) != 0)).cast("long").alias("count"))
+
+    return x.df.agg(*(of(f).alias(name) for name, f in predicates.items()))
+
+
 def truths(x: Matrix, predicate: Callable[[Column], Column]) -> DataFrame:
-    """One row: all, any, none (boolean) and count (long) of the cells for which the predicate (0 or 1) holds. No cells: true, false, true, 0."""
-    return reduce_many(x, a=(AND, predicate), o=(OR, predicate), c=(SUM, lambda v: E.truth(predicate(v) != 0))).select((F.col("a") != 0).alias("all"), (F.col("o") != 0).alias("any"), (F.col("o") == 0).alias("none"), F.col("c").cast("long").alias("count"))
+    """One row: all, any, none and count of one predicate."""
+    return truths_of(x, {"p": predicate}).select("p.*")
 
 
 def all_of(x: Matrix, predicate: Callable[[Column], Column]) -> bool:

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom import errors
 from gridloom.plans.matrix import Matrix
+from gridloom.plans.workspace import ship
+
+#: Values of a group that one task takes in order.
+ORDERED_VALUES = 100_000
+#: Combinations that a grid may have.
+GRID_ROWS = 10_000_000
 
 
 def distinct(x: Matrix) -> DataFrame:
@@ -74,11 +83,15 @@ def first_seen(df: DataFrame, value: str, pos: str) -> DataFrame:
 def almost_distinct(df: DataFrame, value: str, pos: str, eps: float, group: str | None = None) -> DataFrame:
     """Values within eps of a value seen before count with the first such one: rows (v, cnt), by group if there is one.
 
-    The result depends on the order and cannot be split, so each group is one task: for short lists. ``counted`` is the
-    distributed form.
+    The result depends on the order and cannot be split, so each group is one task; a group of more than ORDERED_VALUES values is
+    refused. ``counted`` is the form of any size.
     """
+    ship(df.sparkSession)
     df = df.select((F.lit("") if group is None else F.col(group).cast("string")).alias("grp"), F.col(value).cast("double").alias("v"), F.col(pos).alias("pos"))
 
+    if not df.groupBy("grp").count().where(F.col("count") > ORDERED_VALUES).isEmpty():
+        raise errors.TooLarge(f"a group of more than {ORDERED_VALUES} values")
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
         kept: list[float] = []
         counts: list[int] = []
@@ -126,7 +139,10 @@ def relation(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def ranges(*lists: DataFrame) -> DataFrame:
-    """All combinations of one value from each list, columns v0, v1, ... For parameter grids, whose lists are short."""
+    """All combinations of one value from each list, columns v0, v1, ... For parameter grids; more than GRID_ROWS combinations are refused."""
+    sizes = [d.limit(GRID_ROWS + 1).count() for d in lists]
+    if math.prod(sizes) > GRID_ROWS:
+        raise errors.TooLarge(f"{sizes} values")
     out = lists[0].select(F.col("v").alias("v0"))
     for k, d in enumerate(lists[1:], 1):
         out = out.join(F.broadcast(d.select(F.col("v").alias(f"v{k}"))), how="cross")

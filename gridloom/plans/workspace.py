@@ -1,22 +1,53 @@
-"""Where tables may be written that all executors and the driver can read."""
+"""What a cluster needs: a folder that all its machines can read, and this package on its executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from gridloom import errors
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and all runs in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("gridloom.shared.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise errors.NoSharedFolder(f"spark.checkpoint.dir must name a folder that all machines of {master} can read")
         found = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.conf.set("gridloom.shared.dir", found)
     return found.rstrip("/")
 
 
 def fresh(spark: SparkSession, label: str) -> str:
-    """A path in it that nothing uses yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder in it, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a Spark context; they need not have it installed. Whatever runs a Python function there calls it first."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridloom_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="gridloom-")) / "gridloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(path))
+    sc._gridloom_shipped = True

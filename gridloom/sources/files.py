@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom import errors
 from gridloom.plans.matrix import Matrix
+from gridloom.plans.workspace import ship
 
 _NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 #: Columns of delimited text.
@@ -120,6 +121,7 @@ def _idx(content: bytes, images: bool) -> tuple[int, np.ndarray]:
 
 def read_idx(spark: SparkSession, path: str, images: bool = True) -> Matrix:
     """An IDX file of images (a row each) or labels; rows leave in batches of bounded size."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
