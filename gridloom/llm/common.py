@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.plans.workspace import fresh, remove, ship
+
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,64 +18,67 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("gridloom.shared.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-        spark.conf.set("gridloom.shared.dir", found)
-    return found.rstrip("/")
-
-
 class Stage:
     """Tables written to the shared folder: they cut lineage and outlive a lost executor.
 
-    ``drop`` removes tables that nothing reads any more.
+    ``drop`` removes tables that nothing reads any more; what is left goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
-        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        self.spark, self.base, self.n = spark, fresh(spark, label), 0
 
-    def put(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def put(self, df: DataFrame, codec: str = "zstd", by: str | None = None) -> DataFrame:
+        """The table, read back; ``by`` names a column whose values get folders of their own."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.option("compression", codec).parquet(path)
+        rows = df.write.option("compression", codec)
+        (rows.partitionBy(by) if by else rows).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
         back._gridloom_path = path
         return back
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._gridloom_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, t._gridloom_path)
+
+
+#: Rows of a narrow table that is sent to all tasks.
+SENT_ROWS = 100_000
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+def small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most that many (narrow) rows; beyond, the join shuffles and AQE splits skewed parts."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a Spark context; they need not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_gridloom_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="gridloom-")) / "gridloom.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(path))
-    sc._gridloom_shipped = True
+#: Rows of a key beyond which a join by it is split.
+HOT = 1000
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1500) -> None:
-    """Bound the rows, and where Spark knows the setting the bytes, of a batch handed to Python."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def join_split(rows: DataFrame, table: DataFrame, mine: str, theirs: str, n: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table on mine = theirs. table is staged, has one row for each value of theirs, and n, how many rows
+    of ``rows`` have it. Keys of more than HOT rows, of which there are at most one for HOT rows, are looked up where the rows lie,
+    so that no task gets all rows of a key; beyond what ``small`` sends, AQE splits them."""
+    on = F.col(mine) == F.col(theirs)
+    if table.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+        return rows.join(F.broadcast(table), on, how)
+    hot, cold = table.where(F.col(n) > HOT), table.where(F.col(n) <= HOT)
+    if hot.isEmpty():
+        return rows.join(table, on, how)
+    apart = rows.join(small(hot.select(F.col(theirs).alias("gl_hot"))), F.col(mine) == F.col("gl_hot"), "left_anti")
+    return rows.join(small(hot), on).unionByName(apart.join(cold, on, how))
+
+
+#: Bytes of an Arrow batch that a function takes at a time, and its rows.
+PIECE_BYTES, PIECE_ROWS = 16 << 20, 1500
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of bounded rows and (about) bytes; Spark itself bounds the bytes of a batch. Nothing is copied, and no setting of the session is touched."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * PIECE_BYTES // max(b.nbytes, 1)))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -139,7 +140,7 @@ def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> Da
     """
     cur = stage.put(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     if cur.count() <= ONE_TASK_EDGES:
-        arrow_batches(stage.spark)
+        ship(stage.spark)
         return stage.put(cur.coalesce(1).mapInArrow(_joined_up, cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).schema))
     mark = None
     while True:

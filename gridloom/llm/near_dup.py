@@ -3,7 +3,7 @@
 A document is the set of its distinct word shingles. Sets that are equal are one record, so that a group of exact copies,
 however large, costs one aggregate. In each of TREES independent trees a record goes to the nodes named by the minwise
 values of chosen coordinates. Small nodes are compared exhaustively by sketches of 64 minwise bytes. A node of more than NODE
-records first compares each with leaders it picks. Then, by the components of all links so far, it is done if it lies in one;
+records first compares each with leaders it picks; one of more than PART is dealt over several tasks, which share leaders. Then, by the components of all links so far, it is done if it lies in one;
 if at most NODE records are outside its largest component, those are held against all others; else all its records branch on,
 by further coordinates, to the next level. What shares a node of the last level is one candidate group.
 Candidates only say what to look at: their connected groups are then taken by their full sets, and a link holds if
@@ -14,7 +14,8 @@ standard deviations lower, with 0.9999.
 
 Scale: what is shuffled per record is a 16-byte name and its 64-byte sketch, ten times. Nothing is emitted by pairs within a
 group: a large node gives each record one row, with a link to a leader if it is like one, and the leaders' joins; a group's
-members are linked through pivots (see ``verify``). Groups of more than GROUP shingles are verified in blocks, against a bounded number of query records a round.
+members are linked through pivots (see ``verify``). Groups of more than GROUP shingles are verified in blocks, against a bounded
+number of query records a round. Copies of one set beyond a thousand get their label where they lie.
 
 Null, empty and word-less texts have an empty set and are linked with nothing. Rows with a null doc_id take part in links and
 get their component's smallest id. Repeated rows are in one component. An empty table gives none. Extra columns do no harm.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_batches, components, read, runs, small, text_key
+from .common import Stage, components, join_split, pieces, read, runs, ship, small, text_key
 from .textnp import mix, white_table, windows, words
 
 SKETCH = 64
@@ -39,11 +40,14 @@ TREES, BRANCH, LEVELS = 5, 2, 7
 KEPT = ROOTS = TREES * BRANCH
 NODE = 512
 LEADERS = 256
+#: Records of a node that one task takes; a node of more is dealt over several.
+PART = 2048
 #: Records of a large node that one task holds against those outside its largest component.
-BLOCK = 20_000
+BLOCK = 4096
 #: Shingles of a group that one task verifies; larger groups go in blocks of about so many.
 GROUP = 4_000_000
-QUERIES = 64
+#: Records of a larger group that are held against all its blocks in the first round; four times as many in each next one, up to the second number.
+QUERIES, MOST_QUERIES = 64, 4096
 
 _RNG = np.random.default_rng(20240607)
 _XOR = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
@@ -94,10 +98,10 @@ def name_of(s: np.ndarray) -> bytes:
 
 def digest(docs: DataFrame, k: int) -> DataFrame:
     """Rows (doc_id, h, n_shingles, fp, sk, mins) of docs(doc_id, text): fp names the set; sk is its sketch, mins the coordinates to branch on."""
-    arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sets = shingle_sets(b.column(2), k)
             full = [r for r, s in enumerate(sets) if len(s)]
             values = minwise([sets[r] for r in full]) if full else np.zeros((0, SKETCH), np.uint64)
@@ -140,55 +144,74 @@ def _sketches(x: pa.Table | pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(x.column("sk").to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
-def _node_rows(batches: Iterator[pa.RecordBatch], least: int, most: int, lead: int) -> Iterator[pa.RecordBatch]:
-    """From rows (node, fp, sk) sorted by node: links (a, b, null), and for each record of a node of more than ``most`` a row (a, b, node), b the leader (of up to ``lead``) that it is like, if any."""
-    names = ["a", "b", "node"]
+def _link_batch(a: list, b: list, node: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(node, pa.int64())], names=["a", "b", "node"])
 
-    def rows(a: list, b: list, node: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(node, pa.int64())], names=names)
 
-    leaders: list[bytes] = []
-    lead_comp: list[int] = []  # which leaders are joined already
-    lead_sk = np.zeros((0, SKETCH), np.uint8)
+class _Leaders:
+    """Up to ``lead`` records of a large node that are like none before them, and which of them are joined already."""
 
-    def forget() -> None:
-        nonlocal lead_sk
-        leaders.clear()
-        lead_comp.clear()
-        lead_sk = lead_sk[:0]
+    def __init__(self, least: int, lead: int) -> None:
+        self.least, self.lead = least, lead
+        self.names: list[bytes] = []
+        self.comp: list[int] = []
+        self.sk = np.zeros((0, SKETCH), np.uint8)
 
-    def large(fps: list[bytes], sk: np.ndarray, node: int) -> pa.RecordBatch:
-        """A piece of a large node. A record is linked to the first leader it is like, and joins the others it is like to that one, unless they are; a record like none leads, if there is room."""
-        nonlocal lead_sk
-        a, b, n = [], [], []
+    def take(self, fps: list[bytes], sk: np.ndarray) -> tuple[list, list[tuple[bytes, bytes]]]:
+        """For each record the leader that it is like, if any, and the pairs of leaders that this joins. A record goes to the first leader it is like, and joins the others it is like to that one, unless they are; a record like none leads, if there is room."""
+        joined: list[tuple[bytes, bytes]] = []
         mine = np.full(len(fps), -1)
 
         def join(x: int, y: int) -> None:
-            old, new = lead_comp[x], lead_comp[y]
+            old, new = self.comp[x], self.comp[y]
             if old != new:
-                a.append(leaders[x])
-                b.append(leaders[y])
-                n.append(None)
-                lead_comp[:] = [new if c == old else c for c in lead_comp]
+                joined.append((self.names[x], self.names[y]))
+                self.comp[:] = [new if c == old else c for c in self.comp]
 
-        if leaders:
-            like = _agree(sk, lead_sk) >= least
+        if self.names:
+            like = _agree(sk, self.sk) >= self.least
             for r in np.flatnonzero(like.any(1)).tolist():
                 found = np.flatnonzero(like[r]).tolist()
                 mine[r] = found[0]
                 for x in found[1:]:
                     join(x, found[0])
-        while (mine < 0).any() and len(leaders) < lead:
-            r, k = int(np.argmax(mine < 0)), len(leaders)
-            leaders.append(fps[r])
-            lead_comp.append(k)
-            lead_sk = np.concatenate((lead_sk, sk[r : r + 1]))
-            near = (sk == sk[r]).sum(1) >= least
+        while (mine < 0).any() and len(self.names) < self.lead:
+            r, k = int(np.argmax(mine < 0)), len(self.names)
+            self.names.append(fps[r])
+            self.comp.append(k)
+            self.sk = np.concatenate((self.sk, sk[r : r + 1]))
+            near = (sk == sk[r]).sum(1) >= self.least
             for x in np.unique(mine[near & (mine >= 0)]).tolist():
                 join(x, k)
             mine[near & (mine < 0)] = k
-        of = [leaders[k] if k >= 0 else None for k in mine.tolist()]
-        return rows(a + fps, b + [None if x == y else y for x, y in zip(fps, of, strict=True)], n + [node] * len(fps))
+        return [self.names[k] if k >= 0 else None for k in mine.tolist()], joined
+
+    def rows(self, fps: list[bytes], sk: np.ndarray, node: int) -> pa.RecordBatch:
+        """A row (a, b, node) for each record, b its leader unless it leads itself, and a link (a, b, null) for each two leaders it joins."""
+        of, joined = self.take(fps, sk)
+        return _link_batch([x for x, _ in joined] + fps, [y for _, y in joined] + [None if x == y else y for x, y in zip(fps, of, strict=True)], [None] * len(joined) + [node] * len(fps))
+
+
+def _part_rows(batches: Iterator[pa.RecordBatch], least: int, lead: int) -> Iterator[pa.RecordBatch]:
+    """As ``_node_rows`` for a part of a split node: rows (part, own, node, fp, sk) sorted by part and own; those with own = false come first, are the same in all parts of the node, and give the leaders."""
+    for t in runs(batches, "part"):
+        part, own, node = t.column("part").to_numpy(), t.column("own").to_pylist(), t.column("node").to_numpy()
+        fps, sk = t.column("fp").to_pylist(), _sketches(t)
+        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            mid = lo + own[lo:hi].count(False)
+            leaders = _Leaders(least, lead)
+            if mid > lo:
+                of, joined = leaders.take(fps[lo:mid], sk[lo:mid])
+                both = joined + [(x, y) for x, y in zip(fps[lo:mid], of, strict=True) if y not in (None, x)]
+                yield _link_batch([x for x, _ in both], [y for _, y in both], [None] * len(both))
+            if hi > mid:
+                yield leaders.rows(fps[mid:hi], sk[mid:hi], int(node[lo]))
+
+
+def _node_rows(batches: Iterator[pa.RecordBatch], least: int, most: int, lead: int) -> Iterator[pa.RecordBatch]:
+    """From rows (node, fp, sk) sorted by node: links (a, b, null), and for each record of a node of more than ``most`` a row (a, b, node), b the leader (of up to ``lead``) that it is like, if any."""
+    leaders = _Leaders(least, lead)
 
     def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node = t.column("node").to_numpy()
@@ -204,14 +227,13 @@ def _node_rows(batches: Iterator[pa.RecordBatch], least: int, most: int, lead: i
             b.append(fps[k + 1])
         for lo, hi in zip(cut[:-1][size > 2].tolist(), cut[1:][size > 2].tolist(), strict=True):
             if hi - lo > most:
-                yield large(fps[lo:hi], sk[lo:hi], int(node[lo]))
-                forget()
+                yield _Leaders(least, lead).rows(fps[lo:hi], sk[lo:hi], int(node[lo]))
                 continue
             label = _linked(_agree(sk[lo:hi], sk[lo:hi]) >= least)
             for k in np.flatnonzero(label != np.arange(hi - lo)).tolist():
                 a.append(fps[lo + k])
                 b.append(fps[lo + int(label[k])])
-        yield rows(a, b, [None] * len(a))
+        yield _link_batch(a, b, [None] * len(a))
 
     held: list[pa.RecordBatch] = []
     open_node: int | None = None  # of a large node whose rows are still coming
@@ -223,11 +245,10 @@ def _node_rows(batches: Iterator[pa.RecordBatch], least: int, most: int, lead: i
             n = int(np.searchsorted(node, open_node, "right")) if node[0] == open_node else 0
             if n:
                 part = batch.slice(0, n)
-                yield large(part.column("fp").to_pylist(), _sketches(part), open_node)
+                yield leaders.rows(part.column("fp").to_pylist(), _sketches(part), open_node)
             if n == len(node):
                 continue
             open_node, batch, node = None, batch.slice(n), node[n:]
-            forget()
         if held and held[-1].column("node")[0].as_py() != node[0]:
             yield from whole(pa.Table.from_batches(held))
             held = []
@@ -237,9 +258,9 @@ def _node_rows(batches: Iterator[pa.RecordBatch], least: int, most: int, lead: i
             held = []
         held.append(batch.slice(last))
         if sum(x.num_rows for x in held) > most:
-            open_node = int(node[-1])
+            open_node, leaders = int(node[-1]), _Leaders(least, lead)
             t = pa.Table.from_batches(held)
-            yield large(t.column("fp").to_pylist(), _sketches(t), open_node)
+            yield leaders.rows(t.column("fp").to_pylist(), _sketches(t), open_node)
             held = []
     if held:
         yield from whole(pa.Table.from_batches(held))
@@ -283,16 +304,31 @@ def _outside_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def candidates(records: DataFrame, stage: Stage, percent: int, most: int | None = None, lead: int | None = None) -> DataFrame:
-    """Links (a, b) between names of records(fp, sk, mins) that may hold; linear in the records. most, lead: NODE and LEADERS unless given."""
-    least, most, lead = least_agreement(percent), most or NODE, lead or LEADERS
+def _hot_rows(level: DataFrame, part: int, lead: int) -> DataFrame:
+    """The records of nodes with more than ``part`` of them (level: node, fp, sk, count), in parts of about so many; about ``lead`` records by hash go to all parts of their node, first."""
+    parts = F.ceil(F.col("count") / part).cast("int")
+    share = F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    own = level.select(F.pmod(F.xxhash64("fp"), parts).cast("int").alias("salt"), F.lit(True).alias("own"), "node", "fp", "sk")
+    first = level.where(share < lead / F.col("count")).select(F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(False).alias("own"), "node", "fp", "sk")
+    rows = own.union(first).select(F.xxhash64("node", "salt").alias("part"), "own", "node", "fp", "sk")
+    return rows.repartition("part").sortWithinPartitions("part", "own", "fp")
+
+
+def candidates(records: DataFrame, stage: Stage, percent: int, most: int | None = None, lead: int | None = None, part: int | None = None) -> DataFrame:
+    """Links (a, b) between names of records(fp, sk, mins) that may hold; linear in the records. most, lead, part: NODE, LEADERS and PART unless given."""
+    least, most, lead, part = least_agreement(percent), most or NODE, lead or LEADERS, part or PART
     node = lambda root, name: name.bitwiseAND(F.lit(-16)).bitwiseOR(root.cast("long"))  # noqa: E731  its last four bits are its root
     first = F.transform(F.sequence(F.lit(0), F.lit(ROOTS - 1)), lambda c: node(c, F.xxhash64(c, F.get("mins", c))))
     level = records.select("fp", "sk", F.explode(first).alias("node"))
     every = None
     for depth in range(LEVELS):
-        rows = level.select("node", "fp", "sk").repartition("node").sortWithinPartitions("node", "fp")
-        out = stage.put(rows.mapInArrow(lambda x: _node_rows(x, least, most, lead), "a binary, b binary, node long"))
+        hot = stage.put(level.groupBy(F.col("node").alias("p")).count().where(F.col("count") > part)) if depth == 0 or level.count() > part else None
+        split = hot is not None and not hot.isEmpty()
+        whole = level.join(small(hot), F.col("node") == F.col("p"), "left_anti") if split else level
+        out = whole.select("node", "fp", "sk").repartition("node").sortWithinPartitions("node", "fp").mapInArrow(lambda x: _node_rows(x, least, most, lead), "a binary, b binary, node long")
+        if split:
+            out = out.union(_hot_rows(level.join(small(hot), F.col("node") == F.col("p")), part, lead).mapInArrow(lambda x: _part_rows(x, least, lead), "a binary, b binary, node long"))
+        out = stage.put(out)
         links = out.where("b IS NOT NULL").select("a", "b")
         every = every.union(links) if every is not None else links
         on = out.where("node IS NOT NULL").select(F.col("a").alias("fp"), F.col("node").alias("path"))
@@ -317,6 +353,7 @@ def candidates(records: DataFrame, stage: Stage, percent: int, most: int | None
         pick = lambda j, depth=depth, root=root: (F.lit(ROOTS) + F.pmod(root * BRANCH + depth * ROOTS * BRANCH + j, F.lit(SKETCH - ROOTS))).cast("int")
         step = lambda j, root=root, pick=pick: node(root, F.xxhash64("path", pick(j), F.col("sk").substr(pick(j) + 1, F.lit(1))))
         level = on.join(records, "fp").select("fp", "sk", F.explode(F.array(*map(step, range(BRANCH)))).alias("node"))
+        level = stage.put(level)
     return every
 
 
@@ -418,12 +455,12 @@ def verify(docs: DataFrame, members: DataFrame, stage: Stage, k: int, percent: i
         return out
     texts = stage.put(rows.where("blocks IS NOT NULL").dropDuplicates(["fp"]))
     state = stage.put(texts.select("cluster", "fp", F.col("fp").alias("comp"), F.lit(False).alias("done")))
-    first = True
+    first, queries = True, QUERIES
     while True:
         big = state.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("big")).withColumnRenamed("cluster", "c")
         open_ = state.join(big, F.col("cluster") == F.col("c")).where(F.lit(first) | (F.col("comp") != F.col("big"))).where("NOT done")
         rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("fp")))
-        ask = stage.put(open_.withColumn("r", rank).where(F.col("r") <= QUERIES).select(F.col("fp").alias("q")))
+        ask = stage.put(open_.withColumn("r", rank).where(F.col("r") <= queries).select(F.col("fp").alias("q")))
         if ask.isEmpty():
             return out.union(state.select("fp", "comp"))
         now = texts.join(state.select(F.col("fp").alias("f"), "comp"), F.col("fp") == F.col("f")).drop("f").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -435,23 +472,27 @@ def verify(docs: DataFrame, members: DataFrame, stage: Stage, k: int, percent: i
         state = stage.put(
             state.join(merged.withColumnRenamed("comp", "now"), F.col("comp") == F.col("node"), "left").join(ask, F.col("fp") == F.col("q"), "left").select("cluster", "fp", F.coalesce("now", "comp").alias("comp"), (F.col("done") | F.col("q").isNotNull()).alias("done"))
         )
-        first = False
+        first, queries = False, min(4 * queries, MOST_QUERIES)
 
 
-def near_duplicates(docs: DataFrame, stage: Stage, k: int, percent: int, group: int = GROUP, most: int | None = None, lead: int | None = None) -> DataFrame:
-    """Rows (doc_id, h, n_shingles, component_id) for each row of docs(doc_id, text); h is a hash of the text. most, lead: see ``candidates``."""
+def near_duplicates(docs: DataFrame, stage: Stage, k: int, percent: int, group: int = GROUP, most: int | None = None, lead: int | None = None, part: int | None = None) -> DataFrame:
+    """Rows (doc_id, h, n_shingles, component_id) for each row of docs(doc_id, text); h is a hash of the text. most, lead, part: see ``candidates``."""
     docs = docs.select("doc_id", "text")
     digests = stage.put(digest(docs, k))
-    records = digests.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("low"), F.max(F.struct("doc_id", "h")).alias("at"), F.first("sk").alias("sk"), F.first("mins").alias("mins"), F.first("n_shingles").alias("n_shingles"))
+    records = digests.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("low"), F.max(F.struct("doc_id", "h")).alias("at"), F.first("sk").alias("sk"), F.first("mins").alias("mins"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     records = stage.put(records)
-    groups = components(stage, candidates(records.select("fp", "sk", "mins"), stage, percent, most, lead))
+    groups = components(stage, candidates(records.select("fp", "sk", "mins"), stage, percent, most, lead, part))
     members = stage.put(groups.withColumnRenamed("comp", "cluster").join(records, F.col("node") == F.col("fp")).select("cluster", "fp", "at.doc_id", "at.h", "n_shingles", "low"))
     found = stage.put(verify(docs, members, stage, k, percent, group))
     lows = found.join(members.select(F.col("fp").alias("f"), "low"), F.col("fp") == F.col("f")).select("fp", "comp", "low")
     least = lows.groupBy("comp").agg(F.min("low").alias("component_id")).withColumnRenamed("comp", "c")
     lows = lows.join(least, F.col("comp") == F.col("c")).select(F.col("fp").alias("f"), "component_id")
-    labels = records.select("fp", "low").join(lows, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.coalesce("component_id", "low").alias("component_id"))
-    return digests.select("doc_id", "h", "n_shingles", "fp").join(labels, F.col("fp") == F.col("f"), "left").select("doc_id", "h", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    labels = records.select("fp", "low", "copies").join(lows, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.coalesce("component_id", "low").alias("component_id"), "copies")
+    labels = stage.put(labels)
+    stage.drop(records, members, found)
+    out = ["doc_id", "h", "n_shingles", "component_id"]
+    wordless = digests.where("fp IS NULL").select("doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id"))
+    return join_split(digests.where("fp IS NOT NULL").select("doc_id", "h", "n_shingles", "fp"), labels, "fp", "f", "copies").select(out).union(wordless)
 
 
 def keep_one(docs: DataFrame, stage: Stage, k: int = 5, percent: int = 80) -> DataFrame:

@@ -79,16 +79,59 @@ def test_empty(documents, stage):
     assert nd.keep_one(documents([]), stage).count() == 0
 
 
-def test_chained_group_and_hot_nodes(documents, stage, monkeypatch):
-    """Neighbours in a chain are linked, its ends are not; small nodes and few leaders make groups pass all levels."""
-    monkeypatch.setattr(nd, "NODE", 4)
-    monkeypatch.setattr(nd, "LEADERS", 2)
+@pytest.mark.parametrize(("most", "lead", "part"), [(4, 2, 10**6), (4, 2, 8)])
+def test_chained_group_and_hot_nodes(documents, stage, most, lead, part):
+    """Neighbours in a chain are linked, its ends are not; small nodes, few leaders and split nodes make groups pass all levels. The limits go with the tasks, so workers have them too."""
     w = [f"c{k}" for k in range(400)]
     texts = [(k, " ".join(w[4 * k : 4 * k + 200])) for k in range(40)] + [(100 + k, " ".join(w[:150] + [f"own{k}_{j}" for j in range(200)])) for k in range(40)]
-    rows = nd.near_duplicates(documents(texts), stage, 3, 85).collect()
+    rows = nd.near_duplicates(documents(texts), stage, 3, 85, most=most, lead=lead, part=part).collect()
     assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in rows) == brute(texts, 3, 85)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_brute_force_with_small_nodes(documents, stage, texts, seed):
+    """All limits tiny, on random order."""
+    rows = list(texts)
+    random.Random(seed).shuffle(rows)
+    got = nd.near_duplicates(documents(rows), stage, 3, 85, group=500, most=4, lead=3, part=6).collect()
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == brute(rows, 3, 85)
+
+
+def test_copies_beyond_the_hot_limit(documents, stage, texts, monkeypatch):
+    from gridloom.llm import common
+
+    monkeypatch.setattr(common, "HOT", 2)
+    monkeypatch.setattr(common, "SENT_ROWS", 5)
+    rows = nd.near_duplicates(documents(texts + texts[:6] * 5), stage, 3, 85).collect()
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in rows) == brute(texts + texts[:6] * 5, 3, 85)
+
+
+def template_sketches(n, share, rng):
+    """Sketches of n records that share a template of that share of their shingles, in pairs that agree in 0.87 of their coordinates; no record is like a third one but for the template."""
+    common = rng.integers(0, 256, nd.SKETCH, dtype=np.uint8)
+    jaccard = share / (2 - share)
+    out = np.where(rng.random((n, nd.SKETCH)) < jaccard, common, rng.integers(0, 256, (n, nd.SKETCH), dtype=np.uint8)).astype(np.uint8)
+    for k in range(0, n, 2):
+        other = rng.random(nd.SKETCH) >= 0.87
+        out[k + 1] = out[k]
+        out[k + 1, other] = rng.integers(0, 256, int(other.sum()), dtype=np.uint8)
+    return out
+
+
+@pytest.mark.parametrize(("n", "share", "part"), [(6000, 0.6, 2048), (6000, 0.8, None), (8000, 0.8, 2048)])
+def test_recall_under_a_shared_template(spark, stage, n, share, part):
+    """Candidate recall of pairs above the threshold where thousands of records share a template, so that popular nodes are large."""
+    rng = np.random.default_rng(int(100 * share))
+    sk = template_sketches(n, share, rng)
+    rows = [(b"%06d" % k, s.tobytes(), [int(x) for x in s[: nd.KEPT]]) for k, s in enumerate(sk)]
+    links = nd.candidates(spark.createDataFrame(rows, "fp binary, sk binary, mins array<long>").repartition(8), stage, 85, part=part)
+    comps = {int(r["node"]): bytes(r["comp"]) for r in components(stage, links).collect()}
+    pairs = [k for k in range(0, n, 2) if (sk[k] == sk[k + 1]).sum() >= 0.85 * nd.SKETCH]
+    met = sum(k in comps and comps[k] == comps.get(k + 1) for k in pairs) / len(pairs)
+    print(f"n {n}, template {share}, part {part}: {len(pairs)} pairs, recall {met:.4f}, links {links.count()}")
+    assert met >= 0.99
+
+
 def test_group_labels_hold_all_links():
     rng = np.random.default_rng(4)
     base = rng.integers(1, 1 << 60, 300, dtype=np.uint64)
