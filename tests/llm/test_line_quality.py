@@ -70,7 +70,26 @@ def test_null_labels_and_clashing_columns(spark, documents, edges):
 
 def test_score_looks_at_the_text_alone(spark, documents):
     texts = ["good words in a row.", "$$$ %%% ### &&&", None]
-    field = lq.fit(*(lambda f, s, r: (f, r, np.array([1, 0, 1])))(*lq.lines(pa.array(texts))))
-    a = lq.quality(field, pa.array(texts))
-    b = lq.quality(field, pa.array(texts[::-1]))[::-1]
+    field = lq.fit(*lq.lines(pa.array(texts)), np.array([1, 0, 1]))
+    a, lines, good = lq.quality(field, pa.array(texts))
+    b = lq.quality(field, pa.array(texts[::-1]))[0][::-1]
+    assert lines.tolist() == [1, 1, 0] and (good <= lines).all()
     assert np.allclose(a, b)
+
+
+def test_lines_take_labels_of_their_own():
+    """Bad documents hold a good line: it gets the other label, and the field marks it good within a document that stays bad."""
+    good = ["many plain words stand here in a row.", "and here some more of them, as before."]
+    bad = ["$$$ %%% ### &&& 000 111 222 333 444 555 @@@", "### 999 === 888 *** 777 ^^^ 666 ~~~ 555 ||| 4"]
+    texts = ["\n".join(good * 3), "\n".join(bad * 3)] * 20 + ["\n".join([*bad * 3, good[0], *bad * 2])] * 6
+    label = np.array([1, 0] * 20 + [0] * 6)
+    f, size, row = lq.lines(pa.array(texts))
+    y = label[row].astype(float)
+    alone = lq._ascend(f, row, y, np.zeros(f.shape[1] + 4), 300, alone=True)
+    got = lq.line_labels(f, size.astype(float), row, y, alone[:-4])
+    turned = np.flatnonzero(got != y)
+    assert all((texts[r].split("\n")[np.flatnonzero(row == r).searchsorted(k)] in good) for k in turned.tolist() for r in [int(row[k])])
+    whole = np.bincount(row, size)
+    assert all(size[turned[row[turned] == r]].sum() <= lq.MIXED * whole[r] for r in np.unique(row[turned]))
+    scores, _, _ = lq.quality(lq.fit(f, size.astype(float), row, label), pa.array(texts))
+    assert ((scores >= 0.5) == label).all()
