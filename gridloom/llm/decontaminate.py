@@ -11,8 +11,8 @@ through; ``find_hits`` replaces those named as the columns it adds (n_words, n_h
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,62 +20,106 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import arrow_batches, read, set_aside
+from .common import pieces, read, set_aside, ship
 
 WINDOW = 10
-#: Windows in one broadcast block: at most about 150 MB in a worker.
-BLOCK_WINDOWS = 500_000
-
-
-def _item_blocks(items: DataFrame, window: int, most: int) -> Iterator[dict]:
-    """The benchmark, item by item from the cluster, as blocks {length: {hash: [(words, item)]}}."""
-    block, n = defaultdict(lambda: defaultdict(list)), 0
+#: Windows in one broadcast block. A window takes 28 bytes in a worker and its items' words about 7 bytes each: some 40 MB.
+BLOCK_WINDOWS = 1_000_000
+_MASK = np.uint64((1 << 22) - 1)
+
+
+@dataclass
+class Windows:
+    """Windows of one length, sorted by hash: where the words of each lie in ``text`` (joined by NUL), and its item."""
+
+    size: int
+    hashes: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    item: np.ndarray
+    text: bytes
+    names: list[str]
+    marks: np.ndarray | None = field(default=None, repr=False)
+
+    def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in h of hashes that the set has, and for each the range of the set's windows of that hash."""
+        if self.marks is None:
+            self.marks = np.zeros(int(_MASK) + 1, bool)
+            self.marks[self.hashes & _MASK] = True
+        place = np.flatnonzero(self.marks[h & _MASK])
+        lo, hi = np.searchsorted(self.hashes, h[place], "left"), np.searchsorted(self.hashes, h[place], "right")
+        return place[hi > lo], lo[hi > lo], hi[hi > lo]
+
+    def items(self, lo: int, hi: int, words: bytes) -> list[str]:
+        """Items of those windows whose words are these."""
+        return [self.names[self.item[k]] for k in range(lo, hi) if self.text[self.first[k] : self.end[k]] == words]
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """From rows (item_id, text): rows (item, size, hashes, starts, words) of the items that have words. starts: of each word, and the end, in words."""
     table = textnp.alnum_table()
-    for row in items.select(F.col("item_id").cast("string"), "text").toLocalIterator(prefetchPartitions=False):
-        col = pa.array([row[1] or ""], pa.large_string())
-        raw, _ = textnp.text_bytes(col)
-        low = table[raw].tobytes()
-        h, first, end, _ = textnp.words(col, table)
-        if not len(h):
-            continue
-        size = min(window, len(h))
-        for k, x in enumerate(textnp.windows(h, size).tolist()):
-            block[size][x].append((low[first[k] : end[k + size - 1]].translate(None, b"").split(b"\0"), row[0] or ""))
-            n += 1
+    for b in pieces(batches):
+        h, first, end, at = textnp.words(b.column(1), table)
+        raw, _ = textnp.text_bytes(b.column(1))
+        rows = []
+        for name, p, q in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if q > p:
+                size = min(window, q - p)
+                words = b"\0".join(w for w in table[raw[first[p] : end[q - 1]]].tobytes().split(b"\0") if w)
+                rows.append((name or "", size, textnp.windows(h[p:q], size).view(np.int64), np.concatenate(([0], np.cumsum(end[p:q] - first[p:q] + 1))), words))
+        kinds = {"item": pa.string(), "size": pa.int32(), "hashes": pa.list_(pa.int64()), "starts": pa.list_(pa.int64()), "words": pa.binary()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+
+def _item_blocks(items: DataFrame, window: int, most: int) -> Iterator[list[Windows]]:
+    """The benchmark as blocks of about ``most`` windows. The cluster takes the items apart; the driver holds one block."""
+    ship(items.sparkSession)
+    rows = items.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(lambda x: _item_windows(x, window), "item string, size int, hashes array<long>, starts array<long>, words binary")
+    held: dict[int, list] = {}
+    n = 0
+    for row in rows.toLocalIterator(prefetchPartitions=False):
+        h, starts = np.array(row["hashes"], np.int64).view(np.uint64), np.array(row["starts"], np.int64)
+        for k in range(0, len(h), most):  # an item longer than a block goes in parts
+            part = h[k : k + most]
+            held.setdefault(row["size"], []).append((row["item"], part, starts[k : k + len(part) + row["size"]], bytes(row["words"])))
+            n += len(part)
             if n >= most:
-                yield _plain(block)
-                block, n = defaultdict(lambda: defaultdict(list)), 0
+                yield _packed(held)
+                held, n = {}, 0
     if n:
-        yield _plain(block)
-
-
-def _plain(block: dict) -> dict:
-    """Words as tuples without the empty pieces between delimiters."""
-    return {size: {x: [(tuple(w for w in ws if w), item) for ws, item in found] for x, found in d.items()} for size, d in block.items()}
+        yield _packed(held)
+
+
+def _packed(held: dict[int, list]) -> list[Windows]:
+    out = []
+    for size, found in held.items():
+        base = np.cumsum([0, *(starts[-1] - starts[0] for _, _, starts, _ in found)])
+        text = b"".join(words[starts[0] : starts[-1] - 1] + b"\0" for _, _, starts, words in found)
+        hashes = np.concatenate([h for _, h, _, _ in found])
+        first = np.concatenate([starts[: len(h)] - starts[0] + b for (_, h, starts, _), b in zip(found, base, strict=False)])
+        end = np.concatenate([starts[size : size + len(h)] - 1 - starts[0] + b for (_, h, starts, _), b in zip(found, base, strict=False)])
+        item = np.repeat(np.arange(len(found), dtype=np.int32), [len(h) for _, h, _, _ in found])
+        order = np.argsort(hashes, kind="stable")
+        out.append(Windows(size, hashes[order], first[order], end[order], item[order], text, [x[0] for x in found]))
+    return out
 
 
-def _scan(text: pa.Array, block: dict) -> tuple[list[list[int]], list[list[str]], np.ndarray]:
+def _scan(text: pa.Array, block: list[Windows]) -> tuple[list[list[int]], list[list[str]], np.ndarray]:
     """For each text: flat [first, end) spans of hit words, counted in the text, items that occur, number of words."""
     table = textnp.alnum_table()
     h, first, end, at = textnp.words(text, table)
     raw, _ = textnp.text_bytes(text)
     spans: list[list[int]] = [[] for _ in range(len(text))]
     items: list[list[str]] = [[] for _ in range(len(text))]
-    for size, known in block.items():
+    for known in block:
+        size = known.size
         if len(h) < size:
             continue
-        seen = np.zeros(1 << 22, bool)
-        keys = np.fromiter(known, np.uint64, len(known))
-        seen[keys & np.uint64((1 << 22) - 1)] = True
-        got = textnp.windows(h, size)
-        place = np.flatnonzero(seen[got & np.uint64((1 << 22) - 1)])
-        place = place[np.isin(got[place], keys)]
+        place, lo, hi = known.found(textnp.windows(h, size))
         row = np.searchsorted(at, place, "right") - 1
         whole = place + size <= at[row + 1]
-        place, row = place[whole], row[whole]
-        for p, r in zip(place.tolist(), row.tolist(), strict=True):
-            mine = tuple(table[raw[first[k] : end[k]]].tobytes() for k in range(p, p + size))
-            hit = [item for theirs, item in known[int(got[p])] if theirs == mine]
+        for p, r, a, z in zip(place[whole].tolist(), row[whole].tolist(), lo[whole].tolist(), hi[whole].tolist(), strict=True):
+            hit = known.items(a, z, b"\0".join(table[raw[first[k] : end[k]]].tobytes() for k in range(p, p + size)))
             if hit:
                 own = p - int(at[r])
                 if spans[r] and spans[r][-1] >= own > spans[r][-2]:
@@ -99,20 +143,20 @@ def _union(spans: list[int]) -> list[int]:
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, keep: list[str] | None = None) -> DataFrame:
     """The columns keep (default: all) of each row of docs and its n_words, n_hit, hit_spans (flat first and end word numbers) and hit_items (item_ids as strings)."""
     spark = docs.sparkSession
-    arrow_batches(spark)
+    ship(spark)
     new = {"n_words": "long", "n_hit": "long", "hit_spans": "array<int>", "hit_items": "array<string>"}
     docs = docs.drop(*new)
     keep = docs.columns if keep is None else keep
     out = docs.withColumns({c: F.lit(None).cast(kind) for c, kind in new.items()})
     blocks = _item_blocks(benchmark, window, block_windows)
-    block = next(blocks, {})
+    block = next(blocks, [])
     while block is not None:
         following = next(blocks, None)
         names = [*(docs.columns if following is not None else keep), *new]
         shared = spark.sparkContext.broadcast(block)
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in pieces(batches):
                 cols = dict(zip(b.schema.names, b.columns, strict=True))
                 spans, items, count = _scan(cols["text"], shared.value)
                 spans = [_union((x or []) + y) for x, y in zip(cols["hit_spans"].to_pylist(), spans, strict=True)]
@@ -135,7 +179,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, most_hit: float = 0.2, wi
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = textnp.alnum_table()
-        for b in batches:
+        for b in pieces(batches):
             text = b.column(b.schema.get_field_index("text"))
             spans = b.column(b.schema.get_field_index("hit_spans")).to_pylist()
             new = text.to_pylist()
