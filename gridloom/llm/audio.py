@@ -2,10 +2,12 @@
 
 The stored form is a WAVE file: one byte a sample for mu-law and A-law, blocks of a 4-byte state and 192 bytes (two 4-bit
 steps a byte) for ADPCM. All three hold any byte string without loss. Decoding gives 16-bit PCM at 8 kHz, resampled to 16 kHz
-by an integer half-band filter, so that results are the same on every machine.
+by an integer half-band filter, so that results are the same on every machine. The PCM is stored as a column beside the media and
+the features are taken from what is read back; in the query it goes when they are taken.
 
 Nulls and empty texts are a payload of 192 spaces. Long texts are decoded in pieces; memory follows the piece. Equal payloads
-give equal files. Repeated rows give repeated results; an empty table gives none; extra columns pass through ``encode``.
+give equal files. Repeated rows give repeated results; an empty table gives none; extra columns pass, but those named as the
+columns that a step adds (n_bytes, media, pcm, gl_wave and the features) are replaced.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_batches, read
+from .common import Stage, pieces, read, ship
 
 RATE, OUT_RATE = 8000, 16000
 #: Payloads are padded with spaces to a multiple of this; it is also the data of one ADPCM block.
@@ -28,6 +31,8 @@ UNIT = 192
 CODECS = ("mulaw", "alaw", "adpcm")
 _TAG = {"alaw": 6, "mulaw": 7, "adpcm": 0x11}
 _PIECE = 1 << 20
+#: Parts in which PCM is stored and used: it takes 4 (G.711) or 8 (ADPCM) times the payload, and only one part is there at a time.
+WAVES = 8
 
 # Fixed values of the IMA ADPCM format: quantiser steps, and by how much a code moves the step's index.
 STEPS = np.array([7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767])
@@ -179,11 +184,11 @@ def payload_bytes(text: str | None) -> tuple[int, bytes]:
 
 def encode(docs: DataFrame) -> DataFrame:
     """docs without text, with n_bytes and media, a WAVE file that holds the padded text; the codec follows from the payload."""
-    arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     cols = [c for c in docs.columns if c not in ("text", "n_bytes", "media")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             made = [payload_bytes(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             media = [wrap(CODECS[zlib.crc32(p) % len(CODECS)], p) for _, p in made]
             arrays = [b.column(b.schema.get_field_index(c)) for c in cols]
@@ -195,52 +200,76 @@ def encode(docs: DataFrame) -> DataFrame:
 
 def to_pcm(media: DataFrame) -> DataFrame:
     """media rows with pcm, the decoded and resampled samples (16-bit little-endian, 16 kHz), to be stored as a column."""
-    arrow_batches(media.sparkSession, 200)
+    ship(media.sparkSession)
     media = media.drop("pcm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 200):
             files = b.column(b.schema.get_field_index("media")).to_pylist()
             pcm: list[bytes] = [b""] * len(files)
-            for row, pieces in _batch_pieces(files):
-                pcm[row] = b"".join(x.astype("<i2").tobytes() for x in resampled(iter(pieces)))
+            for row, found in _batch_pieces(files):
+                pcm[row] = b"".join(x.astype("<i2").tobytes() for x in resampled(iter(found)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pcm, pa.binary())], names=[*b.schema.names, "pcm"])
 
     return media.mapInArrow(run, media.withColumn("pcm", F.lit(None).cast("binary")).schema)
 
 
-def features(media: DataFrame) -> DataFrame:
-    """media rows without media, with payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, and feature: codec, samples at 16 kHz, peak, mean square, sign changes and a digest of the PCM."""
-    arrow_batches(media.sparkSession)
-    cols = [c for c in media.columns if c != "media"]
-    new = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+def _told(media: bytes) -> tuple:
+    codec, data = unwrap(media)
+    payload = payload_of(codec, data)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), codec
+
+
+def _heard(pcm: bytes) -> str:
+    """Samples, peak, mean square, sign changes and a digest of stored PCM."""
+    n = peak = power = turns = 0
+    before = False
+    for k in range(0, len(pcm), 2 * _PIECE):
+        x = np.frombuffer(pcm, "<i2", min(_PIECE, (len(pcm) - k) // 2), k)
+        negative = x < 0
+        turns += int(np.count_nonzero(negative[1:] != negative[:-1])) + int(n > 0 and bool(negative[0]) != before)
+        before = bool(negative[-1])
+        n, peak, power = n + len(x), max(peak, int(np.abs(x.astype(np.int32)).max())), power + int(np.dot(x.astype(np.float64), x))
+    return f"{n}:{peak}:{power // max(n, 1)}:{turns}:{hashlib.sha256(pcm).hexdigest()[:16]}"
+
+
+#: What ``features`` adds.
+FEATURES = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+
+
+def features(stored: DataFrame) -> DataFrame:
+    """Rows of stored(media, pcm) without these, with payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, and feature: codec, samples at 16 kHz, peak, mean square, sign changes and a digest of the PCM."""
+    ship(stored.sparkSession)
+    cols = [c for c in stored.columns if c not in ("media", "pcm", *FEATURES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            files = b.column(b.schema.get_field_index("media")).to_pylist()
-            rows: list[tuple] = [()] * len(files)
-            for row, pieces in _batch_pieces(files):
-                n = peak = power = turns = 0
-                told, before = hashlib.sha256(), 0
-                for x in resampled(iter(pieces)):
-                    if not len(x):
-                        continue
-                    wide = x.astype(np.int32)
-                    negative = x < 0
-                    turns += int(np.count_nonzero(negative[1:] != negative[:-1])) + int(n > 0 and bool(negative[0]) != before)
-                    before = bool(negative[-1])
-                    n, peak, power = n + len(x), max(peak, int(np.abs(wide).max())), power + int(np.dot(x.astype(np.float64), x))
-                    told.update(x.astype("<i2", copy=False))
-                codec, data = unwrap(files[row])
-                payload = payload_of(codec, data)
-                rows[row] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(files[row]), hashlib.sha256(files[row]).hexdigest(), f"{codec}:{n}:{peak}:{power // max(n, 1)}:{turns}:{told.hexdigest()[:16]}")
-            made = [pa.array([r[k] for r in rows], pa.int64() if kind == "long" else pa.string()) for k, kind in enumerate(new.values())]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in cols], *made], names=[*cols, *new])
-
-    shape = media.select(cols).withColumns({c: F.lit(None).cast(kind) for c, kind in new.items()}).schema
-    return media.select(*cols, "media").mapInArrow(run, shape)
+        for b in pieces(batches):
+            of = lambda c, b=b: b.column(b.schema.get_field_index(c))
+            rows = []
+            for media, pcm in zip(of("media"), of("pcm"), strict=True):
+                *told, codec = _told(media.as_py())
+                rows.append((*told, f"{codec}:{_heard(pcm.as_py())}"))
+            made = [pa.array([r[k] for r in rows], pa.int64() if kind == "long" else pa.string()) for k, kind in enumerate(FEATURES.values())]
+            yield pa.RecordBatch.from_arrays([*map(of, cols), *made], names=[*cols, *FEATURES])
+
+    shape = stored.select(cols).withColumns({c: F.lit(None).cast(kind) for c, kind in FEATURES.items()}).schema
+    return stored.select(*cols, "media", "pcm").mapInArrow(run, shape)
+
+
+def stored_features(docs: DataFrame, stage: Stage, waves: int = WAVES) -> DataFrame:
+    """n_bytes and the features of docs(.., text). The media column is stored; wave by wave (rows are dealt in turn, so that no group of copies fills one) the PCM column is stored, read back for the features, and removed."""
+    cols = [c for c in docs.columns if c not in ("text", "n_bytes", "media", "gl_wave")]
+    dealt = encode(docs.select(*cols, "text")).withColumn("gl_wave", F.pmod(F.monotonically_increasing_id(), F.lit(waves)).cast("int"))
+    media = stage.put(dealt, by="gl_wave")
+    out = []
+    for wave in range(waves):
+        pcm = stage.put(to_pcm(media.where(F.col("gl_wave") == wave).select(*cols, "n_bytes", "media")))
+        out.append(stage.put(features(pcm)))
+        stage.drop(pcm)
+    stage.drop(media)
+    return reduce(DataFrame.unionByName, out)
 
 
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = Stage(spark, "op6").put(encode(read(spark, sf_dir, "documents").select("doc_id", "text")))
-    return features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    found = stored_features(read(spark, sf_dir, "documents").select("doc_id", "text"), Stage(spark, "op6"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

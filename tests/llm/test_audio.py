@@ -78,8 +78,20 @@ def test_pcm_column(spark, documents):
         codec, data = audio.unwrap(bytes(r["media"]))
         want = b"".join(x.astype("<i2").tobytes() for x in audio.resampled(audio.pcm_pieces(codec, data)))
         assert bytes(r["pcm"]) == want and "n_chars" in r.asDict()
-    assert audio.features(audio.encode(documents([]))).count() == 0
+    assert audio.features(audio.to_pcm(audio.encode(documents([])))).count() == 0
 
 
 def test_wave_module_knows_the_container():
     assert wave.WAVE_FORMAT_PCM not in audio._TAG.values()
+
+
+def test_waves_and_clashing_columns(documents, stage):
+    """What is stored in waves gives the features of the whole; columns named as those that steps add are replaced."""
+    docs = documents([(k, f"text {k % 7} " * (k % 7)) for k in range(40)] + [(99, None)]).selectExpr("*", "'x' AS media", "1 AS n_bytes", "2 AS pcm", "'y' AS feature", "3 AS gl_wave")
+    rows = [sorted(map(str, audio.stored_features(docs, stage, waves).select("doc_id", "n_bytes", "payload_sha256", "feature", "lang").collect())) for waves in (1, 3)]
+    assert rows[0] == rows[1] and len(rows[0]) == 41
+    media = {r["doc_id"]: bytes(r["media"]) for r in audio.encode(docs.select("doc_id", "text")).collect()}
+    for r in audio.stored_features(docs, stage, 2).collect():
+        codec, data = audio.unwrap(media[r["doc_id"]])
+        pcm = np.concatenate(list(audio.resampled(audio.pcm_pieces(codec, data)))).astype("<i2").tobytes()
+        assert r["feature"].startswith(f"{codec}:{len(pcm) // 2}:") and r["feature"].endswith(hashlib.sha256(pcm).hexdigest()[:16])
