@@ -3,7 +3,7 @@
 A package is a ZIP file whose members are stored without compression: gzip'd WARC records one after another, and an index
 with each record's offset and length. The reader parses the central directory (and the ZIP64 one where there is one), finds
 the members, and then reads single records by range; nothing is unpacked. It needs only ``read_at(offset, length)``, so a
-package may be a file, an object in a store or, as in the query, a binary value of a Spark table.
+package may be, as in the query, a file in the shared folder (any store that Arrow opens) or a binary value of a Spark table.
 
 Of records with equal payloads that with the smallest page_id is a response, the others revisit it. A null html is an empty
 payload; a null page_id is never the smallest while another is there, and records that share the smallest are all responses.
@@ -16,21 +16,24 @@ import base64
 import gzip
 import hashlib
 import json
-import os
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_batches, read, small
+from .common import Stage, join_split, pieces, read, ship
 
 #: Payloads of fewer bytes are always responses.
 LEAST_BYTES = 0
 #: A package is closed when its records take this many bytes.
 PACKAGE_BYTES = 8 << 20
+#: Bytes that a pass over a whole package reads at a time.
+READ_AHEAD = 1 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -160,49 +163,89 @@ def value_reader(data: bytes) -> tuple[ReadAt, int]:
     return (lambda at, n: data[at : at + n]), len(data)
 
 
-def file_reader(path: str) -> tuple[ReadAt, int]:
+def file_reader(path: str, ahead: int = 0) -> tuple[ReadAt, int]:
+    """Range reads of a file by its path or URI (file, hdfs, s3, gs and what else Arrow opens); ``ahead``: bytes that a read fetches at least, for a pass over many neighbouring records."""
+    system, name = fs.FileSystem.from_uri(path)
+    source = system.open_input_file(name)
+    size = source.size()
+    held, start = b"", 0
+
     def read_at(at: int, n: int) -> bytes:
-        with open(path, "rb") as f:
-            f.seek(at)
-            return f.read(n)
+        nonlocal held, start
+        if not start <= at <= at + n <= start + len(held):
+            held, start = source.read_at(min(max(n, ahead), size - at), at), at
+        return held[at - start : at - start + n]
 
-    return read_at, os.path.getsize(path)
+    return read_at, size
 
 
-def write_packages(pages: DataFrame, least: int = LEAST_BYTES, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Packages (one binary value a row) that hold a record for each row of pages(page_id, url, html)."""
-    arrow_batches(pages.sparkSession, 200)
+def _told(pages: DataFrame, least: int) -> DataFrame:
+    """pages(page_id, url, html) with refers_to, the response that a page revisits."""
     pages = pages.select("page_id", "url", "html").withColumn("told", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    shared = pages.where(F.coalesce(F.octet_length("html"), F.lit(0)) >= least).groupBy("told").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("told", "first_id")
-    rows = pages.join(small(shared), "told", "left").select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    counted = pages.where(F.coalesce(F.octet_length("html"), F.lit(0)) >= least).groupBy(F.col("told").alias("t")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    rows = join_split(pages, Stage(pages.sparkSession, "warc-first").put(counted.where("n > 1")), "told", "t", "n", "left")
+    return rows.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")), F.col("first_id")).alias("refers_to"))
+
+
+def _packages(batches: Iterator[pa.RecordBatch], package_bytes: int) -> Iterator[bytes]:
+    """Closed packages of rows (page_id, url, html, refers_to)."""
+    package = Package()
+    for b in pieces(batches, 200):
+        for page_id, url, html, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            payload = (html or "").encode()
+            package.add(f"{page_id}", record_bytes(page_id, url, payload, digest_of(payload), first))
+            if len(package.data) >= package_bytes:
+                yield package.close()
+                package = Package()
+    if package.index:
+        yield package.close()
+
+
+def write_packages(pages: DataFrame, least: int = LEAST_BYTES, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """Packages (one binary value ``package`` a row) that hold a record for each row of pages(page_id, url, html)."""
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        package = Package()
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([package.close()], pa.binary())], names=["package"])
-        for b in batches:
-            for page_id, url, html, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                payload = (html or "").encode()
-                package.add(f"{page_id}", record_bytes(page_id, url, payload, digest_of(payload), first))
-                if len(package.data) >= package_bytes:
-                    yield done()
-                    package = Package()
-        if package.index:
-            yield done()
+        for x in _packages(batches, package_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], names=["package"])
 
-    return rows.mapInArrow(run, "package binary")
+    return _told(pages, least).mapInArrow(run, "package binary")
+
+
+def store_packages(pages: DataFrame, stage: Stage, least: int = LEAST_BYTES, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """The same as files in the stage's folder: rows (path, bytes). A task that is run again writes under new names; only files that are listed count."""
+    ship(pages.sparkSession)
+    folder = f"{stage.base}/packages"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(folder)
+        for x in _packages(batches, package_bytes):
+            name = f"{uuid.uuid4().hex}.zip"
+            system.create_dir(top)
+            with system.open_output_stream(f"{top}/{name}") as out:
+                out.write(x)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(x)], pa.int64())], names=["path", "bytes"])
+
+    return stage.put(_told(pages, least).mapInArrow(run, "path string, bytes long"))
 
 
 def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
-    """A row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit, or all without payloads)."""
-    arrow_batches(packages.sparkSession, 1)
+    """A row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit, or all without payloads). packages has rows of ``path``, which are read by range, or of ``package`` values."""
+    spark = packages.sparkSession
+    ship(spark)
     shape = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
     urn = lambda x: int(x[10:-1]) if x and len(x) > 11 else None
+    by_path = "path" in packages.columns
+    if by_path:  # rows are paths, so Spark cannot deal them by their size: some 64 MB of packages to a task, or one for each core
+        told = packages.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        packages = packages.select("path").repartition(max(1, min(told[0], max(spark.sparkContext.defaultParallelism, told[1] >> 26))))
+    reader = (lambda x: file_reader(x, READ_AHEAD)) if by_path else value_reader
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for value in b.column(0):
                 rows, n = [], 0
-                for fields, http, payload in records(*value_reader(value.as_py())):
+                for fields, http, payload in records(*reader(value.as_py())):
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     full = fields["warc-type"] == "response"
                     if full and digest_of(payload) != digest:
@@ -218,6 +261,17 @@ def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
     return packages.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
+def check_revisits(found: DataFrame) -> None:
+    """Raises unless every digest has a response, and all its records the length that was counted on the response's payload (action; one partial aggregate)."""
+    full = F.col("record_type") == "response"
+    wrong = found.groupBy("payload_digest").agg(F.max(F.when(full, F.col("payload_bytes"))).alias("told"), F.min("payload_bytes").alias("low"), F.max("payload_bytes").alias("high")).where("told IS NULL OR told <> low OR told <> high")
+    if not wrong.isEmpty():
+        raise ValueError(f"revisits that do not fit their response: {wrong.first()}")
+
+
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = Stage(spark, "op10").put(write_packages(read(spark, sf_dir, "pages")), "none")
-    return read_packages(stored, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    stage = Stage(spark, "op10")
+    files = store_packages(read(spark, sf_dir, "pages"), stage)
+    found = stage.put(read_packages(files, payloads=False).drop("url", "payload"))
+    check_revisits(found)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

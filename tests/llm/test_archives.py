@@ -83,3 +83,31 @@ def test_short_payloads_never_revisit(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     got = {r["page_id"]: r["record_type"] for r in ar.read_packages(ar.write_packages(pages, least=4)).collect()}
     assert got == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def test_packages_as_files_read_by_range(spark, stage, tmp_path):
+    """Files in the shared folder give what values give, and a package is never read at once."""
+    pages = spark.createDataFrame([(k, f"http://e.x/{k}", f"page {k % 50} " * 400) for k in range(300)], "page_id long, url string, html string")
+    clash = pages.selectExpr("*", "'x' AS path", "1 AS told", "2 AS refers_to", "3 AS payload", "4 AS first_id")
+    files = ar.store_packages(clash, stage, package_bytes=4000)
+    assert files.count() > 1
+    got, want = ar.read_packages(files), ar.read_packages(ar.write_packages(clash, package_bytes=4000))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    ar.check_revisits(got)
+    read_at, size = ar.file_reader(files.first()["path"], 64)
+    assert read_at(0, 4) == b"PK\x03\x04" and read_at(2, 2) == b"\x03\x04" and read_at(size - 22, 4) == b"PK\x05\x06"
+
+
+def test_a_revisit_that_does_not_fit_is_told(spark):
+    rows = [(1, 5, "D", "response", None), (2, 6, "D", "revisit", 1)]
+    found = spark.createDataFrame(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    with pytest.raises(ValueError):
+        ar.check_revisits(found)
+
+
+def test_session_settings_stay(spark, sf_dir):
+    """No query leaves other Arrow settings behind."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.sql(f"SET {key}").first()["value"]
+    ar.op10_warc_zip(spark, sf_dir(pages=spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"))).count()
+    assert spark.sql(f"SET {key}").first()["value"] == before
