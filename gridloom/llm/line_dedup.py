@@ -4,7 +4,8 @@ Runs of lines that two documents share, each as short as can hold a block of BLO
 diff aligns the pair; aligned blocks of at least BLOCK_WORDS words are deleted from the later document (by doc_id). A document is
 held against the earliest document that has the run, for each of its runs, so the pairs are at most as many as there are shared
 runs, and a run in every document costs one pair a document. Each line of a block is in such a run within the block, so the
-earliest document with the block, or with that part of it, is always a partner. Blank lines do not count.
+earliest document with the block, or with that part of it, is always a partner. Blank lines do not count. A run that very many
+documents have is looked up where they lie. Lines are equal if 128 bits of hash are.
 
 A line's first document never loses it, so some copy of every line stays. Null texts have no lines and stay null. Rows that
 share doc_id and text are one document; rows with a null doc_id come last. An empty table gives none. Extra columns
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Stage, arrow_batches, read, text_key
+from .common import WORD, Stage, join_split, pieces, read, ship, text_key
 
 #: Words that an aligned block must have to be deleted.
 BLOCK_WORDS = 40
@@ -139,17 +140,17 @@ def common_blocks(a: list, b: list, words: list[int], least: int = BLOCK_WORDS)
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
-    """Rows (d, h, line, words): document, and its lines as hashes of the trimmed line with their numbers of words (0: blank)."""
-    rows = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("line"), F.coalesce(F.regexp_count(x, F.lit(WORD)), F.lit(0)).alias("words")))
+    """Rows (d, h, line, more, words): document, and its lines as hashes of the trimmed line with their numbers of words (0: blank). line and more are 128 bits that name a line."""
+    rows = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("line"), F.xxhash64(F.lit(1), F.trim(x)).alias("more"), F.coalesce(F.regexp_count(x, F.lit(WORD)), F.lit(0)).alias("words")))
     out = docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), text_key(F.col("text")).alias("h"), rows.alias("rows"))
-    return out.select("d", "h", F.col("rows.line").alias("line"), F.col("rows.words").alias("words"))
+    return out.select("d", "h", F.col("rows.line").alias("line"), F.col("rows.more").alias("more"), F.col("rows.words").alias("words"))
 
 
 def keyed(lined: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     """Rows (d, h, keys): hashes of the document's shortest runs of non-blank lines that can hold a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in pieces(batches):
             keys = []
             for line, words in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
                 full = [k for k, n in enumerate(words) if n]
@@ -160,31 +161,37 @@ def keyed(lined: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     return lined.select("d", "h", "line", "words").mapInArrow(run, "d long, h long, keys array<long>")
 
 
-def pairs(keys: DataFrame) -> DataFrame:
+def pairs(keys: DataFrame, stage: Stage) -> DataFrame:
     """Pairs (d1, h1, d2, h2) of a document of keys(d, h, keys) and the earliest that has one of its keys, if that is another."""
     each = keys.select("d", "h", F.explode("keys").alias("key"))
-    firsts = each.groupBy("key").agg(F.min(F.struct("d", "h")).alias("first"), F.max(F.struct("d", "h")).alias("last")).where("first <> last").select(F.col("key").alias("k"), "first")
-    shared = each.join(firsts, F.col("key") == F.col("k")).where("first < struct(d, h)")
+    firsts = each.groupBy("key").agg(F.min(F.struct("d", "h")).alias("first"), F.max(F.struct("d", "h")).alias("last"), F.count("*").alias("n")).where("first <> last").select(F.col("key").alias("k"), "first", "n")
+    shared = join_split(each, stage.put(firsts), "key", "k", "n").where("first < struct(d, h)")
     return shared.select(F.col("first.d").alias("d1"), F.col("first.h").alias("h1"), F.col("d").alias("d2"), F.col("h").alias("h2")).distinct()
 
 
 def removals(docs: DataFrame, stage: Stage, least: int = BLOCK_WORDS) -> DataFrame:
     """Rows (d, h, gone): the numbers of the lines that a document loses."""
-    arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     lined = stage.put(with_lines(docs).dropDuplicates(["d", "h"]))
-    both = stage.put(pairs(stage.put(keyed(lined, least))))
-    one = lined.select(F.col("d").alias("d1"), F.col("h").alias("h1"), F.filter("line", lambda x, k: F.get("words", k) > 0).alias("a"))
-    two = lined.select(F.col("d").alias("d2"), F.col("h").alias("h2"), F.col("line").alias("b"), F.col("words"))
-    rows = both.join(one, ["d1", "h1"]).join(two, ["d2", "h2"]).select("d2", "h2", "a", "b", "words")
+    keys = stage.put(keyed(lined, least))
+    both = stage.put(pairs(keys, stage))
+    stage.drop(keys)
+    full = lambda c: F.filter(c, lambda x, k: F.get("words", k) > 0)
+    one = lined.select(F.col("d").alias("d1"), F.col("h").alias("h1"), full("line").alias("a"), full("more").alias("a_more"))
+    two = lined.select(F.col("d").alias("d2"), F.col("h").alias("h2"), F.col("line").alias("b"), F.col("more").alias("b_more"), F.col("words"))
+    rows = both.join(one, ["d1", "h1"]).join(two, ["d2", "h2"]).select("d2", "h2", "a", "a_more", "b", "b_more", "words")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            d, h, a, b, w = (c.to_pylist() for c in x.columns)
-            gone = [common_blocks(*r, least) for r in zip(a, b, w, strict=True)]
+        for x in pieces(batches):
+            d, h, a, a_more, b, b_more, w = (c.to_pylist() for c in x.columns)
+            named = ((list(zip(p, q, strict=True)), list(zip(r, s, strict=True)), n) for p, q, r, s, n in zip(a, a_more, b, b_more, w, strict=True))
+            gone = [common_blocks(*r, least) for r in named]
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["d", "h", "gone"])
 
     found = rows.mapInArrow(align, "d long, h long, gone array<int>").where("size(gone) > 0")
-    return stage.put(found.groupBy("d", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
+    out = stage.put(found.groupBy("d", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
+    stage.drop(lined, both)
+    return out
 
 
 def dedup(docs: DataFrame, stage: Stage, least: int = BLOCK_WORDS) -> DataFrame:
@@ -202,7 +209,7 @@ def dedup(docs: DataFrame, stage: Stage, least: int = BLOCK_WORDS) -> DataFrame:
     rows = rows.withColumns({"n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("gl_gone"), F.lit(0)).cast("long")})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             gone, text = b.column(b.schema.get_field_index("gl_gone")).to_pylist(), b.column(b.schema.get_field_index("text"))
             new = text.to_pylist() if any(gone) else text
             for r, g in enumerate(gone):

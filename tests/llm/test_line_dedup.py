@@ -87,3 +87,47 @@ def test_edges(spark, documents, edges, sf_dir, stage):
     assert ld.dedup(documents([]), stage).count() == 0
     clash = edges.withColumn("n_lines", F.lit("x")).withColumn("line", F.lit("y")).withColumn("words", F.lit(3))
     assert ld.dedup(clash, stage).count() == edges.count()
+
+
+def kept_plainly(texts, least=40):
+    """Lines (but blank ones) that a document keeps, by the definition: it loses those in a run of lines (blank ones aside) of enough words that an earlier document has."""
+    docs = sorted(texts)
+    full = {d: [k for k, x in enumerate(t.split("\n")) if x.strip()] for d, t in docs}
+    lines = {d: [t.split("\n")[k].strip() for k in full[d]] for d, t in docs}
+    out = {}
+    for n, (d, _) in enumerate(docs):
+        mine, gone = lines[d], set()
+        for lo in range(len(mine)):
+            for hi in range(lo + 1, len(mine) + 1):
+                if sum(len(x.split()) for x in mine[lo:hi]) >= least and any(lines[e][i : i + hi - lo] == mine[lo:hi] for e, _ in docs[:n] for i in range(len(lines[e]))):
+                    gone |= set(range(lo, hi))
+        out[d] = [x for k, x in enumerate(mine) if k not in gone]
+    return out
+
+
+def test_against_brute_force_over_all_pairs(documents, stage):
+    rng = random.Random(12)
+    pool = [" ".join(f"l{k}w{j}" for j in range(rng.choice([3, 9, 15, 22, 45]))) for k in range(25)]
+    texts = []
+    for d in range(60):
+        part = [rng.choice([*pool, "", " "]) for _ in range(rng.choice([1, 3, 6, 12]))]
+        if texts and rng.random() < 0.6:
+            old = rng.choice(texts)[1].split("\n")
+            at = rng.randrange(len(old))
+            part[1:1] = old[at : at + rng.choice([2, 4, 8])]
+        texts.append((d, "\n".join(part)))
+    got = {r["doc_id"]: [x.strip() for x in r["text"].split("\n") if x.strip()] for r in ld.dedup(documents(texts), stage).collect()}
+    assert got == kept_plainly(texts) and sum(map(len, got.values())) < sum(bool(x.strip()) for _, t in texts for x in t.split("\n"))
+
+
+def test_hot_runs_are_split(documents, stage, monkeypatch):
+    """The same whether a run's documents meet in one task or are looked up where they lie."""
+    from gridloom.llm import common
+
+    passage = "\n".join(" ".join(f"p{k}w{j}" for j in range(20)) for k in range(3))
+    docs = documents([(k, f"own {k}\n{passage}\nend {k}") for k in range(50)] + [(100 + k, "\n".join(f"two {k // 2} {j} " * 8 for j in range(3))) for k in range(40)])
+    plain = sorted(map(str, ld.dedup(docs, stage).select("doc_id", "n_removed").collect()))
+    monkeypatch.setattr(common, "SENT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT", 10)
+    assert sorted(map(str, ld.dedup(docs, stage).select("doc_id", "n_removed").collect())) == plain
+    assert sum("n_removed=3" in x for x in plain) == 49 + 20
