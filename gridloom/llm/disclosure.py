@@ -3,7 +3,7 @@
 The protected entities are the values the patterns find. Terms near an entity (CONTEXT characters to either side) are counted
 with it; P(entity | term) against P(entity), both from counts over the whole corpus, gives the share of the entity's information
 content that the term discloses: (log N/c_e - log n_t/n_et) / (log N/c_e), 1 if the term occurs with the entity only. Terms seen with
-it at least SUPPORT times that disclose more than GENERALISE are generalised wherever they occur; beyond REMOVE they are removed.
+it in at least SUPPORT different texts that disclose more than GENERALISE are generalised wherever they occur; beyond REMOVE they are removed.
 
 All in DataFrame functions. Pairs grow with the entities (each has one context of bounded length), never with the square of a
 group. Counts of terms are partial aggregates; a term of a third of all rows is one number per task.
@@ -86,10 +86,11 @@ def _terms(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, near: DataFrame, stage: Stage, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """Terms and the largest share of an entity's information that each discloses. near: rows (entity, terms)."""
-    each = stage.put(near.select("entity", F.explode("terms").alias("t")).groupBy("entity", "t").agg(F.count("*").alias("n_et")))
+    """Terms and the largest share of an entity's information that each discloses. near: rows (text_key, entity, terms). Copies of a text are one witness of a term, however many there are."""
+    by_text = near.select("text_key", "entity", F.explode("terms").alias("t")).groupBy("entity", "t", "text_key").agg(F.count("*").alias("n"))
+    each = stage.put(by_text.groupBy("entity", "t").agg(F.sum("n").alias("n_et"), F.count("*").alias("n_texts")))
     entities = each.groupBy("entity").agg(F.sum("n_et").alias("c_e"))
-    pairs = stage.put(each.where(F.col("n_et") >= support))
+    pairs = stage.put(each.where(F.col("n_texts") >= support).drop("n_texts"))
     known = pairs.select(F.col("t").alias("k")).distinct()
     if known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         counts = stage.put(_terms(docs).join(F.broadcast(known), F.col("t") == F.col("k"), "left").groupBy(F.col("k").alias("t")).agg(F.count("*").alias("n_t")))
@@ -123,7 +124,7 @@ def find(docs: DataFrame, stage: Stage, keep: list[str]) -> DataFrame:
     key = text_key(F.col("text"))
     first = base_spans(docs).withColumn("text_key", key)
     first = stage.put(first.withColumn("near", contexts(F.coalesce("text", F.lit("")), F.col("base"))).select(*dict.fromkeys([*keep, "doc_id"]), "text_key", "base", "near"))
-    terms = stage.put(disclosing(docs, first.select(F.explode("near").alias("x")).select("x.*"), stage))
+    terms = stage.put(disclosing(docs, first.select("text_key", F.explode("near").alias("x")).select("text_key", "x.*"), stage))
     extra = term_spans(docs, terms, stage).withColumnsRenamed({"doc_id": "gl_d", "text_key": "gl_h"})
     out = first.join(extra, F.col("doc_id").eqNullSafe(F.col("gl_d")) & (F.col("text_key") == F.col("gl_h")), "left")
     apart = F.filter(F.coalesce("term_spans", F.array().cast("array<struct<start:int,end:int,value:string>>")), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))

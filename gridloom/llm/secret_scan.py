@@ -10,12 +10,9 @@ working columns (text_, m_<kind>, s_<kind>) dropped.
 
 from __future__ import annotations
 
-import builtins
-import keyword
 import math
 import random
 import string
-import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +33,30 @@ PATTERNS = {
 MARGIN = 12.0
 
 
+# Words that identifiers and paths are made of.
+WORDS = (
+    "access account action add address admin all alpha append apply args array assert async auth base batch begin binary bind block body bool "
+    "buffer build button byte cache call cancel case catch channel char check child class clean clear client clone close code color column "
+    "command commit compare config connect const content context control copy core count create current cursor data date debug decode "
+    "default delete depth device dict digest dir disable disk display domain done double draw drop edit else email enable encode end engine "
+    "entry enum error event exception execute exists export extend factory field file filter final find first flag float flush folder format "
+    "frame from function get global group handle hash header height hidden host html image import index info init input insert int item join "
+    "json kernel key label last layer layout length level library limit line link list load local lock log"
+).split()
+
+
 def default_samples(seed: int = 7) -> list[tuple[str, bool]]:
-    """Labelled samples: keys drawn from the usual alphabets (True); names of the Python language and library (False)."""
+    """Labelled samples: keys drawn from the usual alphabets (True); names made of WORDS as code and paths make them (False). The same on every machine and version of Python."""
     rng = random.Random(seed)
-    made = [("".join(rng.choices(a, k=rng.randint(20, 64))), True) for a in ("0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "-_") for _ in range(300)]
-    names = sorted({*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names, *dir(str), *dir(F), *dir(random), *dir(math)})
-    joined = ["_".join(rng.sample(names, 3)) for _ in range(1500)] + ["/".join(rng.sample(names, 3)) for _ in range(500)] + ["-".join(rng.sample(names, 2)) + str(rng.randint(0, 99)) for _ in range(500)]
-    return made + [(x, False) for x in names + joined]
+    pick = lambda x: x[int(rng.random() * len(x))]  # noqa: E731  random() alone draws alike in all versions
+    some = lambda x, n: [pick(x) for _ in range(n)]
+    letters, digits = string.ascii_letters, string.digits
+    alphabets = ("0123456789abcdef", letters + digits, letters + digits + "+/", string.ascii_uppercase + digits, letters + digits + "-_")
+    made = [("".join(some(a, pick(range(20, 65)))), True) for a in alphabets for _ in range(300)]
+    names = ["_".join(some(WORDS, 3)) for _ in range(1500)] + ["/".join(some(WORDS, 3)) for _ in range(500)]
+    names += ["-".join(some(WORDS, 2)) + str(pick(range(100))) for _ in range(500)]
+    names += ["".join(w.capitalize() for w in some(WORDS, 3)) for _ in range(500)] + ["_".join(some(WORDS, 3)).upper() for _ in range(500)]
+    return made + [(x, False) for x in WORDS + names]
 
 
 def train(samples: list[tuple[str, bool]]) -> list[float]:
