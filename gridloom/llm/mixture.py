@@ -6,7 +6,8 @@ of smallest key, by prefix sum, the last one where that brings the sum nearer th
 half a document.
 
 Scale: a source may hold a third of all rows, so it is never sorted in one task. Keys fall into BINS bins in key order; words
-are summed by (source, bin), the bin in which the budget ends is found from those sums, and only that bin's rows are ranked.
+are summed by (source, bin), the bin in which the budget ends is found from those sums, and only that bin's rows are ranked, equal
+rows as one. The plan is a row a source: each document then decides for itself.
 
 Nulls: a null text has size 0 and weight 1; null sources are one source, the last. Empty documents take nothing. Equal keys are ordered by
 doc_id; rows that are equal in doc_id and text are interchangeable. An empty table gives an empty mix. Extra columns
@@ -64,7 +65,7 @@ def targets(bins: DataFrame) -> DataFrame:
 
 
 def plan(measured: DataFrame, stage: Stage) -> DataFrame:
-    """One row a source: source_size, target, epochs, rest (words of the fractional epoch), and the bin in which rest ends with the words before it."""
+    """One row a source: source_size, target, epochs, the bin in which the fractional epoch ends, and there the last row in the order of (mix_key, doc_id, size) that it takes, with how many rows equal to that one there are and how many of them it takes. measured: staged rows (doc_id, source, size, mix_key, mix_bin)."""
     bins = stage.put(measured.groupBy("source", "mix_bin").agg(F.sum("size").alias("words")))
     per = targets(bins)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
@@ -73,24 +74,45 @@ def plan(measured: DataFrame, stage: Stage) -> DataFrame:
     ends = bins.withColumn("before", before).withColumnRenamed("source", "s").join(per.withColumnRenamed("source", "source_"), F.col("s").eqNullSafe(F.col("source_")))
     ends = ends.where("before <= rest AND rest < before + words").groupBy("s").agg(F.min(F.struct("mix_bin", "before")).alias("end"))
     out = per.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-    return stage.put(out.select(F.col("source").alias("gl_source"), "source_size", "target", F.col("epochs").alias("gl_epochs"), F.col("rest").alias("gl_rest"), F.coalesce("end.mix_bin", F.lit(BINS)).alias("gl_end"), F.coalesce("end.before", F.lit(0)).cast("long").alias("gl_before")))
+    out = stage.put(out.select(F.col("source").alias("gl_source"), "source_size", "target", F.col("epochs").alias("gl_epochs"), F.col("rest").alias("gl_rest"), F.coalesce("end.mix_bin", F.lit(BINS)).alias("gl_end"), F.coalesce("end.before", F.lit(0)).cast("long").alias("gl_before")))
+    # rows that are equal are one with a count, so a row repeated any number of times is ranked once
+    last = measured.join(small(out.where("gl_rest > 0")), F.col("source").eqNullSafe(F.col("gl_source")) & (F.col("mix_bin") == F.col("gl_end")))
+    last = last.groupBy("gl_source", "gl_rest", "gl_before", "mix_key", "doc_id", "size").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("gl_source").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("gl_rest") - F.col("gl_before") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(order), F.lit(0))
+    # of n equal rows the k-th (from 0) is taken if k * size + size / 2 <= room
+    takes = F.when(F.col("size") > 0, F.least(F.col("n"), F.floor(room / F.col("size") + 0.5))).otherwise(F.when(room >= 0, F.col("n")).otherwise(0))
+    taken = last.withColumn("takes", takes).where("takes > 0").groupBy("gl_source").agg(F.max(F.struct("mix_key", "doc_id", "size", "n", "takes")).alias("gl_last")).withColumnRenamed("gl_source", "s")
+    return stage.put(out.drop("gl_before").join(taken, F.col("gl_source").eqNullSafe(F.col("s")), "left").drop("s"))
 
 
-def mix(measured: DataFrame, stage: Stage) -> DataFrame:
-    """measured rows with source_size, target and copies, how often the mix takes the document (0 to 3)."""
-    rows = measured.drop("source_size", "target", "copies").join(small(plan(measured, stage)), F.col("source").eqNullSafe(F.col("gl_source")))
-    once_more = lambda cond: F.col("gl_epochs") + F.when(cond & (F.col("gl_rest") > 0), 1).otherwise(0)
-    clear = rows.where("mix_bin <> gl_end").withColumn("copies", once_more(F.col("mix_bin") < F.col("gl_end")))
-    order = Window.partitionBy("source").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.where("mix_bin = gl_end").withColumn("gl_before", F.col("gl_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = last.withColumn("copies", once_more(2 * F.col("gl_before") + F.col("size") <= 2 * F.col("gl_rest")))
-    return clear.unionByName(last).drop("gl_source", "gl_epochs", "gl_rest", "gl_end", "gl_before")
+def mix(measured: DataFrame, plans: DataFrame) -> DataFrame:
+    """measured rows with source_size, target and copies, how often the mix takes the document (0 to 3). Each row decides for itself; only of rows equal to the last one taken some may be in and others out, and these are numbered."""
+    rows = measured.drop("source_size", "target", "copies").join(small(plans), F.col("source").eqNullSafe(F.col("gl_source")))
+    here, last = F.struct("mix_key", "doc_id", "size"), F.struct("gl_last.mix_key", "gl_last.doc_id", "gl_last.size")
+    inside = (F.col("mix_bin") < F.col("gl_end")) | (F.col("mix_bin") == F.col("gl_end")) & F.col("gl_last").isNotNull() & (here <= last)
+    rows = rows.withColumn("copies", F.col("gl_epochs") + F.when((F.col("gl_rest") > 0) & inside, 1).otherwise(0))
+    if not plans.where("gl_last.takes < gl_last.n").isEmpty():
+        part = F.coalesce((F.col("mix_bin") == F.col("gl_end")) & here.eqNullSafe(last) & F.col("gl_last.takes").isNotNull() & (F.col("gl_last.takes") < F.col("gl_last.n")), F.lit(False))
+        number = F.row_number().over(Window.partitionBy("source").orderBy("mix_key"))
+        split = rows.where(part).withColumn("gl_k", number).withColumn("copies", F.col("gl_epochs") + F.when(F.col("gl_k") <= F.col("gl_last.takes"), 1).otherwise(0)).drop("gl_k")
+        rows = rows.where(~part).unionByName(split)
+    return rows.drop("gl_source", "gl_epochs", "gl_rest", "gl_end", "gl_last")
+
+
+NARROW = ["doc_id", "source", "size", "mix_key", "mix_bin"]
+
+
+def mixed(docs: DataFrame, stage: Stage) -> DataFrame:
+    """docs with what ``measure`` and ``mix`` add. Sums and ranks are taken on a stored table of five narrow columns; texts are read a second time for the result, and moved nowhere."""
+    measured = measure(docs)
+    return mix(measured, plan(stage.put(measured.select(NARROW)), stage))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark, "op3")
     measured = stage.put(measure(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
-    return mix(measured, stage).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
+    return mix(measured, plan(measured, stage)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 _JUNK_SQL = JUNK.replace("'", "''")

@@ -2,7 +2,8 @@
 
 Records hash into a few thousand virtual slots that never change. Bytes are summed by slot (a partial aggregate whose result
 has at most that many rows), and a versioned slot-to-shard map says where each slot lives. A rebalance edits the map: it
-writes a new version that moves only as many slots as it must. Finding a record's shard is one hash and one array lookup.
+writes a new version that moves only as many slots as it must. Maps are kept by name, so a later run finds the map of the table it
+shards and edits it where sizes have changed. Finding a record's shard is one hash and one array lookup.
 
 A null doc_id or text hashes like any other value; a record's slot also depends on its text, so that many rows without an id
 spread out. Rows that are equal in doc_id and text share a slot. An empty table gets a map and no rows. Extra columns pass; those
@@ -12,10 +13,13 @@ named as the columns it adds (size, text_crc32, virtual_slot, shard, first_row,
 from __future__ import annotations
 
 import heapq
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.plans.workspace import shared_dir
+
 from .common import Stage, read
 
 #: Virtual slots; fixed for the life of a store.
@@ -85,19 +89,54 @@ def rebalance(current: list[int], totals: dict[int, tuple[int, int]], shards: in
         load[low] += weight(slot)
 
 
-def map_table(spark: SparkSession, version: int, placed: list[int], totals: dict[int, tuple[int, int]]) -> DataFrame:
-    """One version of the map as rows (version, virtual_slot, shard, slot_bytes, slot_rows, first_row); first_row counts the rows of the shard's earlier slots."""
+class MapStore:
+    """The versions of a named slot-to-shard map, in the shared folder: a Parquet table with a folder for each version, which is
+    there once its success mark is. Versions are only ever added, and of two writers of the same version one fails."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.base = spark, f"{shared_dir(spark)}/slot-maps/{name}"
+
+    def versions(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        done = (x.getPath() for x in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")))
+        return sorted(int(p.getName().removeprefix("version=")) for p in done)
+
+    def read(self, version: int) -> list[int]:
+        """The shard of each slot."""
+        return [r["shard"] for r in self.spark.read.schema("virtual_slot int, shard int, slot_bytes long").parquet(f"{self.base}/version={version}").orderBy("virtual_slot").collect()]
+
+    def append(self, version: int, placed: list[int], totals: dict[int, tuple[int, int]]) -> None:
+        rows = [(slot, shard, totals.get(slot, (0, 0))[0]) for slot, shard in enumerate(placed)]
+        self.spark.createDataFrame(rows, "virtual_slot int, shard int, slot_bytes long").coalesce(1).write.parquet(f"{self.base}/version={version}")
+
+    def current(self, totals: dict[int, tuple[int, int]], slots: int = SLOTS, shards: int = SHARDS) -> tuple[int, list[int]]:
+        """The latest version, edited (as a new one) where these totals or another number of shards ask for it; the first if there is none."""
+        known = self.versions()
+        if not known:
+            placed = first_map(totals, slots, shards)
+            self.append(1, placed, totals)
+            return 1, placed
+        before = self.read(known[-1])
+        if len(before) != slots:
+            raise ValueError(f"the map has {len(before)} slots, not {slots}; their number is fixed for the life of a store")
+        placed = rebalance(before, totals, shards)
+        if placed == before:
+            return known[-1], before
+        self.append(known[-1] + 1, placed, totals)
+        return known[-1] + 1, placed
+
+
+def place(slotted: DataFrame, placed: list[int], totals: dict[int, tuple[int, int]]) -> DataFrame:
+    """slotted rows with their shard and first_row, which counts the rows of the shard's earlier slots. The map has one row a slot (thousands), so it is broadcast."""
     rows, seen = [], {}
     for slot, shard in enumerate(placed):
-        b, n = totals.get(slot, (0, 0))
-        rows.append((version, slot, shard, b, n, seen.get(shard, 0)))
-        seen[shard] = seen.get(shard, 0) + n
-    return spark.createDataFrame(rows, "version int, virtual_slot int, shard int, slot_bytes long, slot_rows long, first_row long")
-
-
-def place(slotted: DataFrame, versions: DataFrame, version: int) -> DataFrame:
-    """slotted rows with their shard. The map has one row a slot (thousands), so it is broadcast."""
-    return slotted.drop("shard", "first_row").join(F.broadcast(versions.where(F.col("version") == version).select("virtual_slot", "shard", "first_row")), "virtual_slot")
+        rows.append((slot, shard, seen.get(shard, 0)))
+        seen[shard] = seen.get(shard, 0) + totals.get(slot, (0, 0))[1]
+    where = slotted.sparkSession.createDataFrame(rows, "virtual_slot int, shard int, first_row long")
+    return slotted.drop("shard", "first_row").join(F.broadcast(where), "virtual_slot")
 
 
 def positions(placed: DataFrame) -> DataFrame:
@@ -106,18 +145,16 @@ def positions(placed: DataFrame) -> DataFrame:
     return placed.withColumn("slot", (F.col("first_row") + rank - 1).cast("long")).drop("first_row")
 
 
-def shard(docs: DataFrame, stage: Stage, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """docs with virtual_slot, shard and first_row, and the table of map versions."""
+def shard(docs: DataFrame, store: MapStore, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """docs with size, text_crc32, virtual_slot, shard and first_row, by the store's current map."""
     slotted = with_slots(docs, slots)
     totals = slot_totals(slotted.select("virtual_slot", "size"))
-    versions = stage.put(map_table(docs.sparkSession, 1, first_map(totals, slots, shards), totals))
-    return place(slotted, versions, 1), versions
+    return place(slotted, store.current(totals, slots, shards)[1], totals)
 
 
 def op1_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage = Stage(spark, "op1")
-    docs = stage.put(with_slots(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    docs = Stage(spark, "op1").put(with_slots(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     totals = slot_totals(docs)
-    versions = stage.put(map_table(spark, 1, first_map(totals), totals))
-    out = positions(place(docs, versions, 1))
+    _, placed = MapStore(spark, f"documents-{zlib.crc32(sf_dir.encode())}").current(totals)
+    out = positions(place(docs, placed, totals))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

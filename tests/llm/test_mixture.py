@@ -30,7 +30,7 @@ def filled(sizes, weights):
 def test_targets(spark, documents, stage, sizes):
     names = [f"s{k}" for k in range(len(sizes) - 1)] + [None]
     docs = documents([(100 * k + j, "w " * 1, s) for k, (s, n) in enumerate(zip(names, sizes, strict=True)) for j in range(n)] + [(10**6 + k, "", s) for k, s in enumerate(names)])
-    rows = mixture.mix(mixture.measure(docs), stage).collect()
+    rows = mixture.mixed(docs, stage).collect()
     want = filled(dict(zip(names, sizes, strict=True)), {s: 1 + k % 3 for k, s in enumerate(names)})
     taken = defaultdict(int)
     for r in rows:
@@ -65,7 +65,18 @@ def test_empty(spark, documents, sf_dir):
 def test_junk_is_drawn_less_often(spark, documents, stage):
     text = lambda k: "good words all along " * 3 if k % 2 else "### $$$ %%% &&& *** 999 " * 3
     docs = documents([(k, text(k), f"s{k % 4 // 2}") for k in range(2000)])
-    rows = mixture.mix(mixture.measure(docs), stage).where("source = 's0'").collect()
+    rows = mixture.mixed(docs, stage).where("source = 's0'").collect()
     drawn = [sum(r["copies"] for r in rows if r["doc_id"] % 2 == side) for side in (0, 1)]
     assert drawn[1] == 500 and drawn[0] < 300  # two thirds are taken in all
     assert math.isclose(mixture.measure(docs.limit(1)).select(mixture.quality_weight(F.lit("abc"))).first()[0], 1)
+
+
+def test_a_row_repeated_very_often(spark, documents, stage):
+    """Equal rows are ranked as one, and taken in part."""
+    docs = documents([(1, "same words again", "s0")] * 900 + [(k, f"own {k}", "s0") for k in range(2, 60)] + [(100 + k, "w " * 40, "s1") for k in range(300)])
+    rows = mixture.mixed(docs, stage).collect()
+    assert len(rows) == docs.count()
+    for s in ("s0", "s1"):
+        mine = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 0.5 * max(r["size"] for r in mine)
+    assert len({r["copies"] for r in rows if r["doc_id"] == 1}) <= 2

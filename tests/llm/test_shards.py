@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import shards
@@ -54,8 +55,37 @@ def test_rebalance_moves_little():
     assert shards.rebalance(before, totals, 10) == before
 
 
-def test_map_versions_and_clashing_columns(documents, stage):
+def test_map_versions_and_clashing_columns(spark, documents, stage):
     docs = documents([(k, f"text {k}") for k in range(50)]).withColumn("size", F.lit("mine")).withColumn("virtual_slot", F.lit("x"))
-    placed, versions = shards.shard(docs, stage, shards=4, slots=64)
-    assert placed.count() == 50 and versions.where("version = 1").count() == 64
-    assert versions.agg(F.sum("slot_rows")).first()[0] == 50
+    store = shards.MapStore(spark, "clash")
+    assert shards.shard(docs, store, shards=4, slots=64).count() == 50 and store.versions() == [1] and len(store.read(1)) == 64
+
+
+def test_versions_are_edited_as_a_table_grows(spark, documents, stage):
+    rows = [(k, "word " * (1 + k % 9)) for k in range(3000)]
+    store = shards.MapStore(spark, "grown")
+    where = lambda docs, n=5: {r["doc_id"]: r["shard"] for r in shards.shard(docs, store, shards=n, slots=256).select("doc_id", "shard").collect()}
+    first, again = where(documents(rows)), where(documents(rows))
+    assert first == again and store.versions() == [1]
+    grown = where(documents(rows + [(5000 + k, "longer text " * 30) for k in range(40)]))
+    moved = [a != b for a, b in zip(store.read(1), store.read(2), strict=True)]
+    assert store.versions() == [1, 2] and 0 < sum(moved) < 128
+    assert sum(first[d] != grown[d] for d in first) < 0.5 * len(first)
+    more = where(documents(rows), 6)
+    assert store.versions() == [1, 2, 3] and set(more.values()) == set(range(6))
+    with pytest.raises(ValueError):
+        store.current({}, slots=128)
+
+
+def test_query_finds_its_map_again(spark, documents, tmp_path):
+    spark.conf.set("gridloom.shared.dir", f"file://{tmp_path}/shared")
+    out = f"{tmp_path}/in"
+    for n in (2000, 2600):
+        documents([(k, "some words " * (1 + k % 7)) for k in range(n)]).write.mode("overwrite").parquet(f"{out}/documents.parquet")
+        rows = shards.op1_shard_slots(spark, out).collect()
+        check(rows, 40)
+        load = defaultdict(int)
+        for r in rows:
+            load[r["shard"]] += r["size"]
+        assert max(load.values()) < 1.05 * min(load.values())
+    spark.conf.unset("gridloom.shared.dir")
