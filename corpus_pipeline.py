@@ -6,6 +6,8 @@ and extra columns go through as the operators' own docstrings say; an empty tabl
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +38,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none to three times."""
     names = docs.columns
     docs, back = set_aside(docs, ["size", "mix_key", "mix_bin", "source_size", "target", "copies"])
-    mixed = mixture.mix(mixture.measure(docs), Stage(spark, "pipeline-mix"))
+    mixed = mixture.mixed(docs, Stage(spark, "pipeline-mix"))
     return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("gl_copy")).drop("gl_copy").withColumnsRenamed(back).select(names)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their size, text_crc32, virtual slot and shard; columns of these names are replaced."""
-    placed, _ = shards.shard(docs, Stage(spark, "pipeline-shards"))
+    placed = shards.shard(docs, shards.MapStore(spark, f"pipeline-{zlib.crc32(sf_dir.encode())}"))
     return placed.select(*dict.fromkeys([*docs.columns, "size", "text_crc32", "virtual_slot", "shard"]))
 
 
