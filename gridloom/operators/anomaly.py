@@ -45,11 +45,11 @@ def row_densities(x: Matrix, fit: DataFrame | None = None) -> DataFrame:
     return f.df.select("i", out.alias("p"))
 
 
-def row_log_densities(x: Matrix, fit: DataFrame | None = None) -> DataFrame:
-    """Rows (i, logp): the sum of logarithms, which does not vanish for many columns."""
+def row_log_densities(x: Matrix, fit: DataFrame | None = None, keep: tuple[str, ...] = ("i",)) -> DataFrame:
+    """Rows (i, logp), or with the columns keep of a wide matrix's table: the sum of logarithms, which does not vanish for many columns."""
     rows = _fitted(x, fit)
     terms = [-(F.col(f"f{k}") - F.col(f"mu_{k}")) * (F.col(f"f{k}") - F.col(f"mu_{k}")) / (2 * F.col(f"var_{k}")) - F.log(F.col(f"var_{k}")) / 2 for k in range(x.n)]
-    return rows.select("i", (sum(terms[1:], terms[0]) + E.num(x.n * math.log(_ROOT))).alias("logp"))
+    return rows.select(*keep, (sum(terms[1:], terms[0]) + E.num(x.n * math.log(_ROOT))).alias("logp"))
 
 
 def product_of(features: Matrix) -> DataFrame:

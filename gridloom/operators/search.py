@@ -145,19 +145,13 @@ def put(x: Matrix, i: int, j: int, v: float) -> Matrix:
     return x.map_indexed(lambda a, b, old: F.when((a == i) & (b == j), E.num(v)).otherwise(old))
 
 
-def binary_search(sorted_values: DataFrame, keys: DataFrame, eps: float = 0.0, value: str = "v", key: str = "key") -> DataFrame:
-    """Rows (key, at) for distinct keys and values numbered from 0 in order: the place of the first value within eps of the key, or, where none is, -1 - the place at which the key would go in."""
-    low, high = keys.select((F.col(key) - eps).alias("key"), F.col(key).alias("own")), keys.select((F.col(key) + eps).alias("key"), F.col(key).alias("own"))
-    # places of both ends of the key's interval; a value lies in it if one is at or after the first and not after the last
-    first = insertion_points(sorted_values, low.select("key"), value).distinct().join(low, "key").select("own", F.col("at").alias("first"))
-    upto = insertion_points(sorted_values, high.select("key"), value, closed=True).distinct().join(high, "key").select("own", F.col("at").alias("upto"))
-    return first.join(upto, "own").select(F.col("own").alias(key), F.when(F.col("first") < F.col("upto"), F.col("first")).otherwise(-1 - F.col("first")).alias("at"))
-
-
-def insertion_points(sorted_values: DataFrame, keys: DataFrame, value: str = "v", key: str = "key", closed: bool = False) -> DataFrame:
-    """Rows (key, at): how many values are smaller than each key (closed: not larger). One sort of values and keys together and a running count; no join by range. The running count goes through one task, over the distinct values and keys."""
-    marks = sorted_values.select(F.col(value).cast("double").alias("x"), F.lit(1).alias("own")).union(keys.select(F.col(key).cast("double").alias("x"), F.lit(0).alias("own")))
-    sums = marks.groupBy("x").agg(F.sum("own").alias("own"), F.count_if(F.col("own") == 0).alias("asked"))
-    before = F.sum("own").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0 if closed else -1))
+def insertion_points(sorted_values: DataFrame, keys: DataFrame, value: str = "v", key: str = "key", eps: float = 0.0) -> DataFrame:
+    """Rows (key, at) for values numbered from 0 in order: the place of the first value within eps of the key, or, where none is, the place at which the key would go in. Both are how many values are smaller than key - eps.
+
+    One sort of values and keys together and a running count; no join by range. Partial counts go first, so the running count, which takes one task, goes over distinct values and keys.
+    """
+    marks = sorted_values.select(F.col(value).cast("double").alias("x"), F.lit(1).alias("own"), F.lit(None).cast("double").alias("k_")).union(keys.select((F.col(key).cast("double") - eps).alias("x"), F.lit(0).alias("own"), F.col(key).cast("double")))
+    sums = marks.groupBy("x").agg(F.sum("own").alias("own"), F.count_if(F.col("own") == 0).alias("asked"), F.min("k_").alias("k_"))
+    before = F.sum("own").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
     placed = sums.withColumn("at", F.coalesce(before, F.lit(0))).where("asked > 0")
-    return placed.select(F.col("x").alias(key), "at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("asked"))).alias("k_")).drop("k_")
+    return placed.select(F.col("k_").alias(key), "at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("asked"))).alias("n_")).drop("n_")

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom import errors
 from gridloom.plans.matrix import Matrix
-from gridloom.plans.workspace import ship
+from gridloom.plans.workspace import fresh, ship
 
 #: Values of a group that one task takes in order.
 ORDERED_VALUES = 100_000
@@ -107,6 +107,19 @@ def almost_distinct(df: DataFrame, value: str, pos: str, eps: float, group: str
     return df.groupBy("grp").applyInPandas(run, "grp string, v double, cnt long")
 
 
+def ranked(df: DataFrame, value: str, key: str) -> DataFrame:
+    """df with rank, from 0, in the order of value, then key. Ranges of the order are sorted side by side and stored; counts by range give each one's first rank, so no task sorts or numbers the whole."""
+    spark = df.sparkSession
+    path = f"{fresh(spark, 'ranked')}/rows"
+    df.repartitionByRange(value, key).sortWithinPartitions(value, key).withColumn("range_", F.spark_partition_id()).write.parquet(path)
+    stored = spark.read.schema(df.withColumn("range_", F.lit(0)).schema).parquet(path)
+    sizes = stored.groupBy(F.col("range_").alias("r_")).agg(F.count("*").alias("n_"))
+    first = F.coalesce(F.sum("n_").over(Window.orderBy("r_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("range_").orderBy(value, key)) - 1
+    placed = stored.withColumn("in_", inside).join(F.broadcast(sizes.select("r_", first.alias("first_"))), F.col("range_") == F.col("r_"))
+    return placed.select(*df.columns, (F.col("first_") + F.col("in_")).cast("long").alias("rank"))
+
+
 def sorted_values(df: DataFrame, value: str) -> DataFrame:
     return df.orderBy(value)
 

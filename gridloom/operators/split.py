@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 from gridloom import errors
 
 BINS = 4096
-_PRIME = 2_147_483_647
+PRIME = 2_147_483_647
 
 
 def integer_hash(key: Column, seed: int) -> Column:
     """A number below 2^31 - 1 by whole-number arithmetic that any SQL engine gives alike: two rounds of multiply and add."""
-    a = F.pmod(F.pmod(key, F.lit(_PRIME)) * F.lit(48271) + F.lit(seed), F.lit(_PRIME))
-    return F.pmod(F.pmod(a, F.lit(65536)) * F.lit(32749) + F.floor(a / 65536).cast("long") * F.lit(40503) + a, F.lit(_PRIME))
+    a = F.pmod(F.pmod(key, F.lit(PRIME)) * F.lit(48271) + F.lit(seed), F.lit(PRIME))
+    return F.pmod(F.pmod(a, F.lit(65536)) * F.lit(32749) + F.floor(a / 65536).cast("long") * F.lit(40503) + a, F.lit(PRIME))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 1) -> DataFrame:
     """df with rank, its place from 0 in the seeded order. Keys should be distinct; equal ones share no fixed order."""
-    h = df.withColumn("h_", integer_hash(F.col(key).cast("long"), seed)).withColumn("bin_", F.floor(F.col("h_") * F.lit(BINS) / F.lit(_PRIME)).cast("int"))
+    h = df.withColumn("h_", integer_hash(F.col(key).cast("long"), seed)).withColumn("bin_", F.floor(F.col("h_") * F.lit(BINS) / F.lit(PRIME)).cast("int"))
     before = F.coalesce(F.sum("n_").over(Window.orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = h.groupBy("bin_").agg(F.count("*").alias("n_")).withColumn("before_", before).drop("n_")
     inside = F.row_number().over(Window.partitionBy("bin_").orderBy("h_", key)) - 1

@@ -140,6 +140,17 @@ def read_idx(spark: SparkSession, path: str, images: bool = True) -> Matrix:
     return Matrix(df, "vec", h * w)
 
 
+def write_idx(x: Matrix, path: str, height: int | None = None) -> None:
+    """An IDX file of bytes: images of so many lines from the rows of x, or without a height labels from its only column. For matrices that fit on the driver; larger ones go to Parquet."""
+    rows = x.to_local().astype(np.uint8)
+    head = struct.pack(">2I", 0x801, len(rows)) if height is None else struct.pack(">4I", 0x803, len(rows), height, rows.shape[1] // height)
+    spark = x.df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    out.write(bytearray(head + rows.tobytes()))
+    out.close()
+
+
 def read_table(spark: SparkSession, path: str, n: int) -> Matrix:
     return Matrix(spark.read.parquet(path), "vec", n)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom import errors
 from gridloom.functions import elementwise as E
+from gridloom.operators import split
 from gridloom.plans.matrix import Matrix
 
 
@@ -92,7 +93,7 @@ def step_index(spark: SparkSession, m: int, n: int) -> Matrix:
 
 def rand_sym(spark: SparkSession, m: int, n: int, eps: float = 1, seed: int = 1234) -> Matrix:
     """Uniform on (-eps, eps); the value follows from seed and index alone, so a lost task gives the same again."""
-    u = lambda at: (F.pmod(F.xxhash64(F.lit(seed), at), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    u = lambda at: (split.integer_hash(split.integer_hash(at, seed), seed).cast("double") + 0.5) / float(split.PRIME)
     return Matrix.generate(spark, m, n, lambda at: (2 * u(at) - 1) * E.num(eps))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -10,6 +12,7 @@ import pytest
 from gridloom import catalog
 
 DIR = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +42,23 @@ def test_rows_only(spark, name):
     assert catalog.QUERIES[name](spark, DIR).count() > 0
 
 
+def test_workers_without_the_package(tmp_path):
+    """A session whose workers do not know where the package is: it is sent to them."""
+    code = """
+import sys; sys.path.insert(0, ROOT)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", SHARED).getOrCreate()
+from gridloom import catalog
+for name in ("nn_cost", "matrix_product", "kmeans_update", "idx_labels"):
+    print(name, catalog.QUERIES[name](spark, DIR).count())
+"""
+    head = f"ROOT, DIR, SHARED = {ROOT!r}, {DIR!r}, 'file://{tmp_path}'\n"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", head + code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.split() == ["nn_cost", "1", "matrix_product", "1500", "kmeans_update", "320", "idx_labels", "25"]
+
+
 def test_entry(spark):
     import __spark_entry__
 
