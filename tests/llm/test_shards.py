@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -57,13 +58,13 @@ def test_rebalance_moves_little():
 
 def test_map_versions_and_clashing_columns(spark, documents, stage):
     docs = documents([(k, f"text {k}") for k in range(50)]).withColumn("size", F.lit("mine")).withColumn("virtual_slot", F.lit("x"))
-    store = shards.MapStore(spark, "clash")
+    store = shards.MapStore(spark, f"test-{uuid.uuid4().hex}")
     assert shards.shard(docs, store, shards=4, slots=64).count() == 50 and store.versions() == [1] and len(store.read(1)) == 64
 
 
 def test_versions_are_edited_as_a_table_grows(spark, documents, stage):
     rows = [(k, "word " * (1 + k % 9)) for k in range(3000)]
-    store = shards.MapStore(spark, "grown")
+    store = shards.MapStore(spark, f"test-{uuid.uuid4().hex}")
     where = lambda docs, n=5: {r["doc_id"]: r["shard"] for r in shards.shard(docs, store, shards=n, slots=256).select("doc_id", "shard").collect()}
     first, again = where(documents(rows)), where(documents(rows))
     assert first == again and store.versions() == [1]
