@@ -275,3 +275,14 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stage.put(read_packages(files, payloads=False).drop("url", "payload"))
     check_revisits(found)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_A32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP10_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT h AS t, min(page_id) AS first_id, sha1(h) AS told FROM p GROUP BY h),
+d AS (SELECT t, first_id, list_transform(range(0, 8), lambda g: ('0x' || substr(told, 5 * g + 1, 5))::BIGINT) AS parts FROM s),
+b AS (SELECT t, first_id, array_to_string(list_transform(parts, lambda x: substr('{_A32}', ((x >> 15) & 31) + 1, 1) || substr('{_A32}', ((x >> 10) & 31) + 1, 1) || substr('{_A32}', ((x >> 5) & 31) + 1, 1) || substr('{_A32}', (x & 31) + 1, 1)), '') AS digest FROM d),
+r AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS NULL OR page_id > first_id THEN first_id END AS refers_to FROM p JOIN b ON h = t)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""

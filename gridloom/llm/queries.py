@@ -21,4 +21,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_mix_sources": mixture.OP3_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op10_warc_zip": archives.OP10_SQL,
 }

@@ -111,3 +111,15 @@ def test_session_settings_stay(spark, sf_dir):
     before = spark.sql(f"SET {key}").first()["value"]
     ar.op10_warc_zip(spark, sf_dir(pages=spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"))).count()
     assert spark.sql(f"SET {key}").first()["value"] == before
+
+
+def test_same_as_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet'")
+    got, want = ar.op10_warc_zip(spark, d), con.sql(ar.OP10_SQL)
+    assert sorted(got.columns) == sorted(want.columns)
+    order = sorted(got.columns)
+    assert sorted(map(str, (tuple(r[c] for c in order) for r in got.collect()))) == sorted(map(str, want.select(*order).fetchall()))
