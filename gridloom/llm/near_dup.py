@@ -510,3 +510,33 @@ def keep_one(docs: DataFrame, stage: Stage, k: int = 5, percent: int = 80) -> Da
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"), Stage(spark, "op5"), 3, 85)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: The same by prefix filtering: the rarest shingles of a set, one more than it may lack, hold one that every linked set has too.
+OP5_SQL = r"""
+WITH RECURSIVE
+words AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+  FROM words),
+records AS MATERIALIZED (SELECT min(r) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+each AS MATERIALIZED (SELECT id, n, unnest(s) AS t FROM records),
+often AS (SELECT t, count(*) AS c FROM each GROUP BY t),
+placed AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY c, t) AS k FROM each JOIN often USING (t)),
+prefix AS MATERIALIZED (SELECT id, n, t FROM placed WHERE k <= n - (85 * n + 99) // 100 + 1),
+pairs AS MATERIALIZED (SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.t = b.t AND a.id < b.id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n),
+shared AS (SELECT p.a, p.b, x.n AS n, y.n AS m, len(list_intersect(x.s, y.s)) AS common FROM pairs p JOIN records x ON x.id = p.a JOIN records y ON y.id = p.b),
+links AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * common >= 85 * (n + m - common)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id AS a, id AS b FROM records UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+named AS MATERIALIZED (SELECT a AS id, min(b) AS comp FROM reach GROUP BY a),
+placed_docs AS (SELECT d.doc_id, len(d.s) AS n_shingles, n.comp FROM sets d LEFT JOIN records x ON x.s = d.s LEFT JOIN named n ON n.id = x.id),
+lows AS (SELECT comp, min(doc_id) AS low FROM placed_docs WHERE comp IS NOT NULL GROUP BY comp)
+SELECT doc_id, n_shingles, CASE WHEN p.comp IS NULL THEN doc_id ELSE low END AS component_id,
+       doc_id IS NOT DISTINCT FROM CASE WHEN p.comp IS NULL THEN doc_id ELSE low END AS kept
+FROM placed_docs p LEFT JOIN lows l ON p.comp = l.comp
+"""

@@ -20,6 +20,7 @@ QUERIES = {
 #: The others have no SQL form: tests hold them against brute force, exact round trips or held-out labels.
 ORACLE_SQL = {
     "op3_mix_sources": mixture.OP3_SQL,
+    "op5_near_dup": near_dup.OP5_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_warc_zip": archives.OP10_SQL,
 }

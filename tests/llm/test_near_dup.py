@@ -74,6 +74,17 @@ def test_query(spark, documents, sf_dir, texts):
     assert len(rows) == len(texts) and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
+def test_same_as_sql(spark, documents, sf_dir, texts):
+    import duckdb
+
+    for d in ("/root/testdata/sf0.01", sf_dir(documents=documents(texts))):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet{'' if d.endswith('0.01') else '/*.parquet'}'")
+        got, want = nd.op5_near_dup(spark, d), con.sql(nd.OP5_SQL)
+        assert got.columns == want.columns
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_empty(documents, stage):
     assert nd.near_duplicates(documents([]), stage, 3, 85).count() == 0
     assert nd.keep_one(documents([]), stage).count() == 0
