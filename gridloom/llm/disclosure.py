@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stage, read, small, text_key
-from .spans import by_start, redacted, tagged, with_spans, written
+from .spans import by_start, matches_sql, redacted, tagged, with_spans, written
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Base patterns. Possessive runs and looks around change nothing in what is kept: they pass over what a rule would drop anyway, and
@@ -74,7 +74,7 @@ def contexts(text: Column, base: Column) -> Column:
         left = text.substr(F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
         right = text.substr(s["end"] + 1, F.lit(CONTEXT))
         left = F.when(s["start"] > CONTEXT, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-        right = F.when(F.length(text) > s["end"] + CONTEXT, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+        right = F.when(F.length(text) > s["end"] + CONTEXT, F.regexp_replace(right, r"\p{L}+\z", "")).otherwise(right)
         terms = F.regexp_extract_all(F.concat(left, F.lit(" "), right), F.lit(TERM), F.lit(0))
         return F.struct(F.md5(F.concat_ws(":", s["kind"], F.lower(s["value"])).cast("binary")).alias("entity"), F.transform(terms, lambda t: F.lower(t)).alias("terms"))
 
@@ -142,3 +142,46 @@ def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(read(spark, sf_dir, "documents").select("doc_id", "text"), Stage(spark, "op2"), ["doc_id"])
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(of, [*KINDS, "term"]), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+#: The patterns as they are asked for, with no look around.
+_SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "term": TERM,
+}
+OP2_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS MATERIALIZED ({matches_sql(_SQL_PATTERNS)}),
+digits AS (SELECT r, k, reverse(regexp_replace(value, '[^0-9]', '', 'g')) AS n FROM m WHERE kind = 'card'),
+cards AS (
+  SELECT r, k FROM (SELECT r, k, n, unnest(range(1, length(n) + 1)) AS i FROM digits WHERE length(n) BETWEEN 16 AND 19)
+  GROUP BY r, k HAVING sum(CASE WHEN i % 2 = 1 THEN substr(n, i, 1)::INT ELSE 2 * substr(n, i, 1)::INT - CASE WHEN substr(n, i, 1)::INT > 4 THEN 9 ELSE 0 END END) % 10 = 0),
+base AS MATERIALIZED (
+  SELECT m.* FROM m LEFT JOIN cards ON cards.r = m.r AND cards.k = m.k
+  WHERE kind = 'email' OR (kind = 'ip' AND len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255')) = 0) OR (kind = 'card' AND cards.r IS NOT NULL)
+     OR (kind = 'phone' AND length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 8 AND 15)),
+sides AS (
+  SELECT r, t, kind || ':' || lower(value) AS entity, first > {CONTEXT} AS cut, length(t) > past + {CONTEXT} AS cut_after, substr(t, greatest(first - {CONTEXT}, 0)::BIGINT + 1, least(first, {CONTEXT})::BIGINT) AS before, substr(t, past::BIGINT + 1, {CONTEXT}) AS after
+  FROM base JOIN d USING (r)),
+near AS (
+  SELECT t AS witness, entity, lower(unnest(regexp_extract_all(CASE WHEN cut THEN regexp_replace(before, '^\\p{{L}}+', '') ELSE before END || ' ' || CASE WHEN cut_after THEN regexp_replace(after, '\\p{{L}}+$', '') ELSE after END, '{TERM}'))) AS term
+  FROM sides),
+counted AS (SELECT entity, term, count(*) AS n_et, count(DISTINCT witness) AS n_texts FROM near GROUP BY entity, term),
+entities AS (SELECT entity, sum(n_et) AS c_e FROM counted GROUP BY entity),
+terms AS (SELECT lower(value) AS term, count(*) AS n_t FROM m WHERE kind = 'term' GROUP BY lower(value)),
+content AS (SELECT entity, ln((SELECT sum(n_t) FROM terms)::DOUBLE / c_e) AS bits FROM entities),
+telling AS (
+  SELECT DISTINCT term FROM counted JOIN content USING (entity) JOIN terms USING (term)
+  WHERE n_texts >= {SUPPORT} AND bits > 0 AND 1 - ln(greatest(n_t, n_et)::DOUBLE / n_et) / bits >= {GENERALISE}),
+added AS (SELECT m.* FROM m WHERE kind = 'term' AND lower(value) IN (SELECT term FROM telling) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = m.r AND b.first < m.past AND m.first < b.past)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM added),
+by_doc AS (
+  SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'term') AS n_term,
+         string_agg(kind || ':' || first || ':' || past, ',' ORDER BY rank, first) FILTER (kind <> 'term') AS base, string_agg(kind || ':' || first || ':' || past, ',' ORDER BY rank, first) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, coalesce(n_term, 0) AS n_term, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN by_doc USING (r)
+"""

@@ -19,7 +19,9 @@ QUERIES = {
 
 #: The others have no SQL form: tests hold them against brute force, exact round trips or held-out labels.
 ORACLE_SQL = {
+    "op2_disclosure": disclosure.OP2_SQL,
     "op3_mix_sources": mixture.OP3_SQL,
+    "op4_secret_scan": secret_scan.OP4_SQL,
     "op5_near_dup": near_dup.OP5_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_warc_zip": archives.OP10_SQL,

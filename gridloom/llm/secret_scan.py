@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .spans import by_start, let, redacted, tagged, with_spans, written
+from .spans import by_start, let, matches_sql, quoted, redacted, tagged, with_spans, written
 
 KINDS = ["assign", "access", "hex"]
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]+)"""
@@ -99,3 +99,36 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(of, [*KINDS, "random"]), F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(_either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+#: The patterns as they are asked for, with no look around; the token and model tables are those of ``train``.
+_SQL_PATTERNS = {
+    "assign": "(?:" + _NAMES + r""")["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+    "random": "[A-Za-z0-9+/_=-]{20,}",
+}
+_PLACE = f"(instr({quoted(ALPHABET)}, substr(value, {{}}, 1)) - 1)"
+OP4_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS MATERIALIZED ({matches_sql(_SQL_PATTERNS)}),
+base AS MATERIALIZED (
+  SELECT * FROM m
+  WHERE (kind = 'assign' AND length(regexp_extract(value, '^(?:{_NAMES})["'']?\\x20*[:=]\\x20*["'']?(.*)$', 1)) >= 8) OR (kind = 'access' AND length(value) >= 16) OR (kind = 'hex' AND length(value) >= 32)),
+told AS (SELECT string_split('{",".join(f"{x:.6f}" for x in train(default_samples()))}', ',')::DOUBLE[] AS ratio),
+apart AS (SELECT * FROM m WHERE kind = 'random' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = m.r AND b.first < m.past AND m.first < b.past)),
+pairs AS (SELECT r, k, {_PLACE.format("i")} * {len(ALPHABET)} + {_PLACE.format("i + 1")} + 1 AS cell FROM (SELECT r, k, value, unnest(range(1, length(value))) AS i FROM apart)),
+drawn AS (SELECT r, k FROM pairs, told GROUP BY r, k HAVING sum(ratio[cell]) > {MARGIN}),
+spans AS (SELECT * FROM base UNION ALL SELECT apart.* FROM apart JOIN drawn USING (r, k)),
+by_doc AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'random') AS n_random,
+         string_agg(kind || ':' || first || ':' || past, ',' ORDER BY first, rank) FILTER (kind <> 'random') AS base, string_agg(kind || ':' || first || ':' || past, ',' ORDER BY first, rank) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_random, 0) AS n_random, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN by_doc USING (r)
+"""

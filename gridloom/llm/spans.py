@@ -93,3 +93,16 @@ def redacted(text: Column, spans: Column, mask: Callable[[Column], Column]) -> C
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), mask(s["kind"])).alias("out"), s["end"].alias("at"))).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def matches_sql(patterns: dict[str, str]) -> str:
+    """SQL for the matches of each pattern in the rows d(r, t): r, rank, kind, k (which match), value, first and past, code points."""
+    one = """SELECT r, {rank} AS rank, '{kind}' AS kind, k, value, past - length(value) AS first, past
+  FROM (SELECT r, k, value, sum(length(gap) + length(value)) OVER (PARTITION BY r ORDER BY k) AS past
+        FROM (SELECT r, unnest(g) AS gap, unnest(m) AS value, generate_subscripts(g, 1) AS k FROM (SELECT r, string_split_regex(t, {p}) AS g, regexp_extract_all(t, {p}) AS m FROM d) WHERE len(m) > 0)
+        WHERE value IS NOT NULL)"""
+    return "\n  UNION ALL ".join(one.format(rank=rank, kind=kind, p=quoted(p)) for rank, (kind, p) in enumerate(patterns.items()))

@@ -72,6 +72,34 @@ def test_secrets(spark, documents, sf_dir, texts):
         assert hashlib.sha256(",".join(parts).encode()).hexdigest() == r["base_sha256"]
 
 
+@pytest.mark.parametrize("query", ["op2_disclosure", "op4_secret_scan"])
+def test_same_as_sql(spark, documents, sf_dir, texts, query):
+    """Also with terms that give an address away, tokens that only the models find, and line ends where a context ends."""
+    import duckdb
+
+    from gridloom.llm import queries
+
+    drawn = [x for x, secret in secret_scan.default_samples(seed=5) if secret and len(x) >= 32][::150]
+    more = [(2000 + k, f"{x} zorblaxian jo.doe@mail.example.com " + "y " * 57 + "quux\n and on") for k, x in enumerate(drawn)] + [(3000 + k, "quux more words are here") for k in range(3)]
+    d = sf_dir(documents=documents(texts + more))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    got, want = queries.QUERIES[query](spark, d), con.sql(queries.ORACLE_SQL[query])
+    assert got.columns == want.columns
+    rows = got.collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want.fetchall()))
+    assert any(r["n_term" if query == "op2_disclosure" else "n_random"] for r in rows)
+
+
+def test_a_line_end_ends_no_word(documents):
+    """The context's last word is whole if a line end is all that follows it within the context."""
+    from pyspark.sql import functions as F
+
+    text = "a@b.cd" + " " * (disclosure.CONTEXT - 5) + "quux\nmore"
+    row = disclosure.base_spans(documents([(1, text), (2, text.replace("\n", "x"))])).select("doc_id", disclosure.contexts(F.col("text"), F.col("base"))[0]["terms"].alias("terms")).collect()
+    assert {r["doc_id"]: r["terms"] for r in row} == {1: ["quux"], 2: []}
+
+
 def test_markov_models_tell_keys_from_names(spark, documents):
     """On samples that were not trained on."""
     table = secret_scan.train(secret_scan.default_samples())
@@ -120,7 +148,7 @@ def disclosed_plainly(texts):
                 left = re.sub(r"^[^\W\d_]+", "", left)
             right = t[b : b + disclosure.CONTEXT]
             if len(t) > b + disclosure.CONTEXT:
-                right = re.sub(r"[^\W\d_]+$", "", right)
+                right = re.sub(r"[^\W\d_]+\Z", "", right)
             for w in term.findall(left + " " + right):
                 near[kind, t[a:b].lower(), w.lower()] += 1
                 entities[kind, t[a:b].lower()] += 1
