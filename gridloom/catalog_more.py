@@ -187,9 +187,10 @@ def almost_distinct(spark, sf_dir):
     return sets.almost_distinct(table(spark, sf_dir, "part"), "p_size", "p_partkey", 0.5, "p_brand")
 
 
-@query("SELECT user_id, list_sort(list(value)) AS \"values\" FROM events GROUP BY user_id")
+@query("SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS INTEGER) AS place, value FROM events")
 def sorted_arrays(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(sets.sorted_array(F.collect_list("value")).alias("values"))
+    arrays = table(spark, sf_dir, "events").groupBy("user_id").agg(sets.sorted_array(F.collect_list("value")).alias("all"))
+    return arrays.select("user_id", F.posexplode("all").alias("place", "value"))
 
 
 # --- products and small matrices ---
