@@ -141,7 +141,7 @@ def sanitise(docs: DataFrame, stage: Stage) -> DataFrame:
 def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(read(spark, sf_dir, "documents").select("doc_id", "text"), Stage(spark, "op2"), ["doc_id"])
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(of, [*KINDS, "term"]), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(of, [*KINDS, "term"]), F.size("base").cast("long").alias("n_personal"), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
 #: The patterns as they are asked for, with no look around.
@@ -182,6 +182,6 @@ by_doc AS (
   SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'term') AS n_term,
          string_agg(kind || ':' || first || ':' || past, ',' ORDER BY rank, first) FILTER (kind <> 'term') AS base, string_agg(kind || ':' || first || ':' || past, ',' ORDER BY rank, first) AS spans
   FROM spans GROUP BY r)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, coalesce(n_term, 0) AS n_term, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, coalesce(n_term, 0) AS n_term, coalesce(n_email + n_ip + n_card + n_phone, 0) AS n_personal, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN by_doc USING (r)
 """
